@@ -26,7 +26,8 @@ KW_EDGE = "'\"“”‘’()\\[\\]{}\\-–—,:;"
 # Word characters for tokens.
 TOKEN_RE = r"[\p{L}\p{N}]+"
 
-EMPTY_STR_ARRAY = F.array().cast("array<string>")
+def empty_strs():
+    return F.array().cast("array<string>")
 
 
 def col_(c) -> Column:
@@ -58,7 +59,7 @@ def dedup_ci(arr) -> Column:
     spelling of every case-folded value, order kept."""
     items = F.filter(F.transform(col_(arr), strip), lambda x: x.isNotNull() & (x != ""))
     return F.aggregate(
-        items, EMPTY_STR_ARRAY,
+        items, empty_strs(),
         lambda acc, x: F.when(F.exists(acc, lambda y: fold(y) == fold(x)), acc)
         .otherwise(F.concat(acc, F.array(x))))
 
@@ -73,21 +74,21 @@ def to_keywords(key) -> Column:
     """TXT3 ``to_keywords``: LF-separated string (or an array) to a clean,
     de-duplicated keyword list."""
     k = col_(key)
-    arr = F.coalesce(F.split(k, "\n", -1), EMPTY_STR_ARRAY)
+    arr = F.coalesce(F.split(k, "\n", -1), empty_strs())
     cleaned = F.filter(clean_phrases(arr), lambda x: x != "")
     return dedup_ci(cleaned)
 
 
 def to_keywords_array(arr) -> Column:
     """TXT3 for an array-typed ``key`` column (accepted, see Q6)."""
-    cleaned = F.filter(clean_phrases(F.coalesce(col_(arr), EMPTY_STR_ARRAY)),
+    cleaned = F.filter(clean_phrases(F.coalesce(col_(arr), empty_strs())),
                        lambda x: x != "")
     return dedup_ci(cleaned)
 
 
 def normalize_kw_string(s) -> Column:
     """KWD2: null -> []; split on LF, ';' and ','; strip; drop blanks; KWD1."""
-    parts = F.coalesce(F.split(col_(s), "[\n;,]", -1), EMPTY_STR_ARRAY)
+    parts = F.coalesce(F.split(col_(s), "[\n;,]", -1), empty_strs())
     return dedup_ci(parts)
 
 
@@ -126,7 +127,7 @@ def postprocess(arr, lowercase: bool = False, min_len: int = 2,
     items = F.filter(items, keep)
     if dedupe:
         items = F.aggregate(
-            items, EMPTY_STR_ARRAY,
+            items, empty_strs(),
             lambda acc, x: F.when(F.exists(acc, lambda y: fold(y) == fold(x)), acc)
             .otherwise(F.concat(acc, F.array(x))))
     return items

@@ -8,7 +8,7 @@ import importlib
 from keyforge.plans import registry
 from keyforge.session import tune
 
-MODULES = ("q_text", "q_eval")
+MODULES = ("q_text", "q_eval", "q_extract")
 
 
 def _load():

@@ -55,11 +55,11 @@ def kw_raw(docs: DataFrame) -> DataFrame:
 def kw_pairs(docs: DataFrame) -> DataFrame:
     """kw_pairs(doc_id, pred, ref): ref = cleaned gold list; pred = top-8
     tokens of the first half of the document."""
-    from keyforge.functions.text import EMPTY_STR_ARRAY, to_keywords
+    from keyforge.functions.text import empty_strs, to_keywords
     gold = kw_raw(docs).select("doc_id", to_keywords(F.col("key")).alias("ref"))
     pred = top_tokens(docs, first_half=True).withColumnRenamed("toks", "pred")
     return (gold.join(pred, "doc_id", "left")
-            .select("doc_id", F.coalesce("pred", EMPTY_STR_ARRAY).alias("pred"), "ref"))
+            .select("doc_id", F.coalesce("pred", empty_strs()).alias("pred"), "ref"))
 
 
 def responses(docs: DataFrame) -> DataFrame:
