@@ -100,3 +100,54 @@ def keep_punctuated_sentences(x: str) -> str:
 def show_list(arr: str, sep: str = " | ") -> str:
     """Arrays are compared as joined strings."""
     return f"array_to_string({arr}, {q(sep)})"
+
+
+# --- answer parsing (PRS) -------------------------------------------------
+
+def clean_keyword(x: str) -> str:
+    from keyforge.functions.parse import BULLETS, QUOTES, TRAIL
+    s = f"regexp_replace({x}, {q(f'^[{BULLETS}]+[.)]?[{WS}]*')}, '', 'g')"
+    s = strip(s)
+    s = f"regexp_replace({s}, {q(f'^[{QUOTES}]+|[{QUOTES}]+$')}, '', 'g')"
+    s = f"regexp_replace({s}, {q(f'[{TRAIL}]+$')}, '', 'g')"
+    return strip(s)
+
+
+def dedup_fold(arr: str, v: str = "u") -> str:
+    return (f"list_reduce({arr}, lambda {v}acc, {v}e: CASE WHEN "
+            f"len(list_filter({v}acc, lambda {v}y: {fold(v + 'y')} = {fold(v + 'e')})) > 0 "
+            f"THEN {v}acc ELSE list_append({v}acc, {v}e) END, []::VARCHAR[])")
+
+
+def parse_list_literal(x: str) -> str:
+    snip = f"regexp_replace(regexp_extract(coalesce({x}, ''), '\\[.*\\]', 0, 's'), {q(f',[{WS}]*' + chr(92) + ']$')}, ']')"
+    items = f"CAST(json_extract({snip}, '$[*]') AS JSON[])"
+    strings = (f"list_transform(list_filter({items}, lambda jx: json_type(jx) = 'VARCHAR'), "
+               f"lambda jy: jy->>'$')")
+    parsed = f"(CASE WHEN json_valid({snip}) AND json_type({snip}::JSON) = 'ARRAY' THEN {strings} ELSE []::VARCHAR[] END)"
+    cleaned = f"list_filter(list_transform({parsed}, lambda ka: {clean_keyword('ka')}), lambda kb: kb IS NOT NULL AND kb <> '')"
+    return dedup_fold(cleaned, "l")
+
+
+def parse_keyword_lines(x: str, tag: str = "KEYWORDS") -> str:
+    from keyforge.functions.parse import LINE_BREAKS
+    text = f"coalesce({x}, '')"
+    tail = (f"(CASE WHEN regexp_matches({text}, {q('(?i)' + tag)}) THEN "
+            f"regexp_extract({text}, {q(f'(?is){tag}[{WS}]*:?(.*)')}, 1) ELSE {text} END)")
+    lines = f"list_transform(regexp_split_to_array({tail}, {q(LINE_BREAKS)}), lambda la: {strip('la')})"
+    k = clean_keyword("lb")
+    nwords = f"len(regexp_extract_all({k}, {q(f'[^{WS}]+')}))"
+    step = (f"CASE WHEN lacc.stop THEN lacc "
+            f"WHEN lb = '' THEN (CASE WHEN len(lacc.out) > 0 THEN {{'stop': true, 'out': lacc.out}} ELSE lacc END) "
+            f"WHEN {k} = '' THEN lacc "
+            f"WHEN regexp_matches({k}, '(?i)^(?:assistant|analysis|note|explanation)\\b') THEN {{'stop': true, 'out': lacc.out}} "
+            f"WHEN regexp_matches({k}, {q(f'(?i)^{tag}[{WS}]*:?$')}) THEN lacc "
+            f"WHEN regexp_matches({k}, '(?i)\\bkeywords?\\b') AND {nwords} > 3 THEN lacc "
+            f"ELSE {{'stop': false, 'out': list_append(lacc.out, {k})}} END")
+    out = f"list_reduce({lines}, lambda lacc, lb: {step}, {{'stop': false, 'out': []::VARCHAR[]}})"
+    return dedup_fold(f"({out}).out", "m")
+
+
+def parse_answer(x: str) -> str:
+    lit = parse_list_literal(x)
+    return f"(CASE WHEN len({lit}) > 0 THEN {lit} ELSE {parse_keyword_lines(x)} END)"
