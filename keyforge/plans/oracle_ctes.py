@@ -41,8 +41,9 @@ def gold_cte() -> str:
 gold AS (SELECT doc_id, {D.to_keywords('key')} AS ref FROM kw_raw)"""
 
 
-def kw_pairs_cte() -> str:
-    return gold_cte() + "," + long_tokens_cte("half8", first_half=True) + """,
+def kw_pairs_cte(with_gold: bool = True) -> str:
+    head = gold_cte() + "," if with_gold else ""
+    return head + long_tokens_cte("half8", first_half=True) + """,
 kw_pairs AS (
   SELECT g.doc_id, coalesce(h.toks, []::VARCHAR[]) AS pred, g.ref
   FROM gold g LEFT JOIN half8 h USING (doc_id))"""
