@@ -133,3 +133,68 @@ yake_kept AS (
              1.0::DOUBLE - levenshtein({ascii_map('y')}, {ascii_map('x')})::DOUBLE / greatest(length(y), length(x)) > {dedup}::DOUBLE)) > 0
            THEN acc ELSE list_append(acc, x) END, []::VARCHAR[]) AS kept
   FROM y_rk GROUP BY doc_id)"""
+
+
+def _sum(expr_list: str) -> str:
+    return f"list_reduce({expr_list}, lambda sa, sb: sa + sb, 0.0::DOUBLE)"
+
+
+def kb_candidates_cte(src: str = "documents") -> str:
+    """KeyBERT TF-IDF candidates: kb_cand(doc_id, phrase, sim, terms, norm)."""
+    return f"""
+kb_w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {D.q(TOKEN_RE)}),
+                                     lambda kt: length(kt) >= 2 AND NOT list_contains({STOP_SQL}, kt)) AS w FROM {src}),
+kb_dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM kb_w) GROUP BY doc_id, term),
+kb_idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM {src})) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf
+           FROM kb_dt GROUP BY term),
+kb_dw AS (SELECT d.doc_id, d.term, i.idf, d.tf * i.idf AS wd FROM kb_dt d JOIN kb_idf i USING (term)),
+kb_dn AS (SELECT doc_id, sqrt({_sum('list(wd * wd ORDER BY term)')}) AS dnorm FROM kb_dw GROUP BY doc_id),
+kb_g AS (SELECT doc_id, unnest(list_concat(
+            list_transform(range(1, len(w) + 1), lambda gi: w[gi:gi]),
+            list_transform(range(1, len(w)), lambda gj: w[gj:gj + 1]),
+            list_transform(range(1, len(w) - 1), lambda gk: w[gk:gk + 2]))) AS g FROM kb_w),
+kb_c AS (SELECT DISTINCT doc_id, array_to_string(g, ' ') AS phrase, g FROM kb_g),
+kb_ct AS (SELECT doc_id, phrase, term, count(*) AS cnt FROM (SELECT doc_id, phrase, unnest(g) AS term FROM kb_c)
+          GROUP BY doc_id, phrase, term),
+kb_cw AS (SELECT c.doc_id, c.phrase, c.term, c.cnt * d.idf AS w, d.wd FROM kb_ct c JOIN kb_dw d USING (doc_id, term)),
+kb_per AS (SELECT doc_id, phrase, list({{'term': term, 'w': w, 'wd': wd}} ORDER BY term) AS s FROM kb_cw GROUP BY doc_id, phrase),
+kb_cand AS (
+  SELECT p.doc_id, p.phrase,
+         round({_sum('list_transform(p.s, lambda x1: x1.wd * x1.w)')} / (dn.dnorm * sqrt({_sum('list_transform(p.s, lambda x2: x2.w * x2.w)')})), 12) AS sim,
+         list_transform(p.s, lambda x3: {{'term': x3.term, 'w': x3.w}}) AS terms,
+         sqrt({_sum('list_transform(p.s, lambda x4: x4.w * x4.w)')}) AS norm
+  FROM kb_per p JOIN kb_dn dn USING (doc_id))"""
+
+
+def term_pair_sim(a: str, b: str) -> str:
+    inner = (f"list_reduce(list_transform(list_filter({b}.terms, lambda pu: pu.term = pt.term), lambda pv: pv.w), "
+             f"lambda pa, pb: pa + pb, 0.0::DOUBLE)")
+    dot = f"list_reduce(list_transform({a}.terms, lambda pt: pt.w * {inner}), lambda pc, pd: pc + pd, 0.0::DOUBLE)"
+    return f"round({dot} / ({a}.norm * {b}.norm), 12)"
+
+
+def dense_pair_sim(a: str, b: str) -> str:
+    dot = (f"list_reduce(list_transform(range(1, len({a}.vec) + 1), lambda di: {a}.vec[di] * {b}.vec[di]), "
+           f"lambda da, db: da + db, 0.0::DOUBLE)")
+    return f"round({dot} / ({a}.norm * {b}.norm), 12)"
+
+
+def mmr_sql(arr: str, k: int, d: float, pair_sim) -> str:
+    """Full MMR over ``arr`` (structs with name, sim, ... sorted by name):
+    returns the picks list of {name, sim, score}.  Odd steps store the
+    argmax, even steps fold it in (no per-element recomputation)."""
+    one_minus = repr(1.0 - d)
+    scores = (f"list_transform({arr}, lambda mx, mi: CASE WHEN list_contains(macc.sel, mi) THEN NULL "
+              f"WHEN len(macc.sel) = 0 THEN mx.sim "
+              f"ELSE {one_minus}::DOUBLE * mx.sim - {d!r}::DOUBLE * macc.ms[mi] END)")
+    choose = (f"{{'sel': macc.sel, 'ms': macc.ms, 'picks': macc.picks, "
+              f"'j': list_position({scores}, list_max({scores}))::INTEGER, 'best': list_max({scores})}}")
+    chosen = f"{arr}[macc.j]"
+    new_ms = f"list_transform(macc.ms, lambda mm, mk: greatest(mm, {pair_sim(f'{arr}[mk]', chosen)}))"
+    fold = (f"{{'sel': list_append(macc.sel, macc.j), 'ms': {new_ms}, "
+            f"'picks': list_append(macc.picks, {{'name': {chosen}.name, 'sim': {chosen}.sim, 'score': macc.best}}), "
+            f"'j': macc.j, 'best': macc.best}}")
+    init = (f"{{'sel': []::INTEGER[], 'ms': list_transform({arr}, lambda mz: 0.0::DOUBLE), "
+            f"'picks': []::STRUCT(name VARCHAR, sim DOUBLE, score DOUBLE)[], 'j': 0::INTEGER, 'best': 0.0::DOUBLE}}")
+    return (f"(list_reduce(range(1, 2 * least({k}, len({arr})) + 1), lambda macc, mstep: "
+            f"CASE WHEN mstep % 2 = 1 THEN {choose} ELSE {fold} END, {init})).picks")

@@ -34,3 +34,57 @@ FROM documents d LEFT JOIN yake_kept k USING (doc_id)""")
 def yak1_yake_extract(spark, sf):
     kw = Y.extract(docs_by_id(spark, sf))
     return kw.select("doc_id", show_list("keywords").alias("keywords"))
+
+
+# --- KeyBERT -----------------------------------------------------------------
+
+from keyforge.operators import keybert as KB  # noqa: E402
+from keyforge.plans import oracle_extract as OX  # noqa: E402
+
+_KB_ARR = """kb_arr AS (SELECT doc_id, list({'name': phrase, 'sim': sim, 'terms': terms, 'norm': norm} ORDER BY phrase) AS c
+          FROM kb_cand GROUP BY doc_id)"""
+
+
+@register("key2_key4_tfidf_candidates", "WITH " + OX.kb_candidates_cte() + """
+SELECT doc_id, count(*) AS n_cands, round(max(sim), 6) AS best_sim,
+       round(sum(sim), 6) AS sum_sim, arg_max(phrase, sim * 1e12 - 0) AS dummy FROM kb_cand GROUP BY doc_id""".replace(
+    ", arg_max(phrase, sim * 1e12 - 0) AS dummy", ""))
+def key2_key4_tfidf_candidates(spark, sf):
+    c = KB.tfidf_candidates(docs_by_id(spark, sf), KB.KeyBertConfig())
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cands"), F.round(F.max("sim"), 6).alias("best_sim"),
+                                   F.round(F.sum("sim"), 6).alias("sum_sim"))
+
+
+@register("key1_key5_keybert_mmr", "WITH " + OX.kb_candidates_cte() + "," + _KB_ARR + f""",
+kb_pick AS (SELECT doc_id, {OX.mmr_sql('c', 20, 0.6, OX.term_pair_sim)} AS picks FROM kb_arr)
+SELECT d.doc_id, {D.show_list(D.postprocess("list_transform(coalesce(p.picks, []), lambda pk: pk.name)"))} AS keywords
+FROM documents d LEFT JOIN kb_pick p USING (doc_id)""")
+def key1_key5_keybert_mmr(spark, sf):
+    kw = KB.extract(docs_by_id(spark, sf))
+    return kw.select("doc_id", show_list("keywords").alias("keywords"))
+
+
+@register("key3_corpus_min_df", "WITH " + OX.kb_candidates_cte() + """,
+pdf AS (SELECT phrase, count(*) AS n FROM kb_cand GROUP BY phrase)
+SELECT k.doc_id, count(*) AS n_kept FROM kb_cand k JOIN pdf USING (phrase) WHERE pdf.n >= 2 GROUP BY k.doc_id""")
+def key3_corpus_min_df(spark, sf):
+    cfg = KB.KeyBertConfig(min_df=2)
+    c = KB.tfidf_candidates(docs_by_id(spark, sf), cfg)
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@register("key4c_key5_embedding_mmr", f"""
+WITH v AS (SELECT label, CAST(vec_id AS VARCHAR) AS name, list_transform(embedding, lambda ex: ex::DOUBLE) AS vec FROM embeddings),
+vn AS (SELECT *, sqrt(list_reduce(list_transform(vec, lambda ey: ey * ey), lambda ea, eb: ea + eb, 0.0::DOUBLE)) AS norm FROM v),
+dims AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM v) GROUP BY label, pos),
+mean AS (SELECT label, list(m ORDER BY pos) AS mvec FROM dims GROUP BY label),
+mn AS (SELECT *, sqrt(list_reduce(list_transform(mvec, lambda ez: ez * ez), lambda ec, ed: ec + ed, 0.0::DOUBLE)) AS mnorm FROM mean),
+c AS (SELECT vn.label, vn.name, round(list_reduce(list_transform(range(1, len(vn.vec) + 1), lambda ei: vn.vec[ei] * mn.mvec[ei]),
+             lambda ee, ef: ee + ef, 0.0::DOUBLE) / (vn.norm * mn.mnorm), 12) AS sim, vn.vec, vn.norm FROM vn JOIN mn USING (label)),
+arr AS (SELECT label, list({{'name': name, 'sim': sim, 'vec': vec, 'norm': norm}} ORDER BY name) AS c FROM c GROUP BY label),
+p AS (SELECT label, {OX.mmr_sql('c', 5, 0.6, OX.dense_pair_sim)} AS picks FROM arr)
+SELECT label, (pk.i)::BIGINT AS rank, pk.p.name AS vec_id FROM (SELECT label, unnest(picks) AS p, unnest(range(1, len(picks) + 1)) AS i FROM p) pk""")
+def key4c_key5_embedding_mmr(spark, sf):
+    from keyforge.sources.tables import table
+    r = KB.embedding_mmr(table(spark, sf, "embeddings"), k=5, d=0.6)
+    return r.select("label", F.col("rank").cast("bigint").alias("rank"), F.col("name").alias("vec_id"))
