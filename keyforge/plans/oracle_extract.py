@@ -198,3 +198,44 @@ def mmr_sql(arr: str, k: int, d: float, pair_sim) -> str:
             f"'picks': []::STRUCT(name VARCHAR, sim DOUBLE, score DOUBLE)[], 'j': 0::INTEGER, 'best': 0.0::DOUBLE}}")
     return (f"(list_reduce(range(1, 2 * least({k}, len({arr})) + 1), lambda macc, mstep: "
             f"CASE WHEN mstep % 2 = 1 THEN {choose} ELSE {fold} END, {init})).picks")
+
+
+def _content(x: str) -> str:
+    return f"(NOT list_contains({STOP_SQL}, {x}) AND length({x}) >= 3 AND NOT regexp_matches({x}, '^\\p{{N}}+$'))"
+
+
+def textrank_cte(top_k: int = 20, window: int = 2, damping: float = 0.85, iterations: int = 10,
+                 max_words: int = 4) -> str:
+    """Needs ``tk_b2`` from tokens_cte; defines tr_top(doc_id, rank, phrase)."""
+    pairs = ", ".join(f"list_transform(range(1, len(t) + 1), lambda pi{dd}: {{'a': t[pi{dd}], 'b': t[pi{dd} + {dd}]}})"
+                      for dd in range(1, window + 1))
+    base = repr(1.0 - damping)
+    parts = [f"""
+tr_t AS (SELECT doc_id, list_transform(toks, lambda tx: lower(tx)) AS t, toks FROM tk_b2 WHERE len(toks) > 0),
+tr_p AS (SELECT doc_id, unnest(list_concat({pairs})) AS p FROM tr_t),
+tr_pf AS (SELECT doc_id, p.a AS a, p.b AS b FROM tr_p
+          WHERE p.b IS NOT NULL AND p.a <> p.b AND {_content('p.a')} AND {_content('p.b')}),
+tr_e AS (SELECT doc_id, src, dst, count(*) AS w FROM (
+           SELECT doc_id, a AS src, b AS dst FROM tr_pf UNION ALL SELECT doc_id, b, a FROM tr_pf) GROUP BY doc_id, src, dst),
+tr_ow AS (SELECT doc_id, src, sum(w) AS ww FROM tr_e GROUP BY doc_id, src),
+tr_en AS (SELECT e.doc_id, e.src, e.dst, e.w::DOUBLE / o.ww AS wn FROM tr_e e JOIN tr_ow o USING (doc_id, src)),
+tr_nodes AS (SELECT DISTINCT doc_id, src AS term FROM tr_en),
+tr_n AS (SELECT doc_id, count(*) AS n FROM tr_nodes GROUP BY doc_id),
+tr_r0 AS (SELECT doc_id, term, n, 1.0::DOUBLE / n AS r FROM tr_nodes JOIN tr_n USING (doc_id))"""]
+    for it in range(1, iterations + 1):
+        parts.append(f"""
+tr_r{it} AS (SELECT e.doc_id, e.dst AS term, any_value(r.n) AS n,
+                    {base}::DOUBLE / any_value(r.n) + {damping!r}::DOUBLE * sum(r.r * e.wn) AS r
+             FROM tr_en e JOIN tr_r{it - 1} r ON r.doc_id = e.doc_id AND r.term = e.src GROUP BY e.doc_id, e.dst)""")
+    mark = "CHR(1)"
+    parts.append(f"""
+tr_runs AS (SELECT DISTINCT doc_id, phrase FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(array_to_string(list_transform(toks, lambda rx:
+             CASE WHEN {_content('lower(rx)')} THEN lower(rx) ELSE {mark} END), ' '), ' ?\\x{{0001}} ?')) AS phrase
+    FROM tr_t) WHERE phrase <> '' AND len(string_split(phrase, ' ')) <= {max_words}),
+tr_words AS (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS term FROM tr_runs),
+tr_sc AS (SELECT w.doc_id, w.phrase, sqrt(sum(coalesce(r.r, 0.0) * coalesce(r.r, 0.0)) / count(*)) AS score
+          FROM tr_words w LEFT JOIN tr_r{iterations} r ON r.doc_id = w.doc_id AND r.term = w.term GROUP BY w.doc_id, w.phrase),
+tr_top AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, phrase) AS rank
+           FROM tr_sc QUALIFY rank <= {top_k})""")
+    return ",".join(parts)

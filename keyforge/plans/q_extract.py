@@ -88,3 +88,28 @@ def key4c_key5_embedding_mmr(spark, sf):
     from keyforge.sources.tables import table
     r = KB.embedding_mmr(table(spark, sf, "embeddings"), k=5, d=0.6)
     return r.select("label", F.col("rank").cast("bigint").alias("rank"), F.col("name").alias("vec_id"))
+
+
+# --- TextRank ----------------------------------------------------------------
+
+from keyforge.operators import textrank as TR  # noqa: E402
+
+
+@register("trk3_pagerank", "WITH " + tokens_cte() + "," + OX.textrank_cte() + """
+SELECT doc_id, count(*) AS n_nodes, round(sum(r), 6) AS rank_sum, round(max(r), 6) AS max_rank
+FROM tr_r10 GROUP BY doc_id""")
+def trk3_pagerank(spark, sf):
+    cfg = TR.TextRankConfig()
+    blocks = TK.block_table(docs_by_id(spark, sf)).where(F.size("toks") > 0)
+    r = TR.pagerank(TR.graph(blocks, cfg), cfg)
+    return r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.sum("rank"), 6).alias("rank_sum"),
+                                   F.round(F.max("rank"), 6).alias("max_rank"))
+
+
+@register("trk1_textrank_extract", "WITH " + tokens_cte() + "," + OX.textrank_cte() + f""",
+tr_l AS (SELECT doc_id, list(phrase ORDER BY rank) AS kw FROM tr_top WHERE length(phrase) >= 2 GROUP BY doc_id)
+SELECT d.doc_id, {D.show_list(D.postprocess('coalesce(l.kw, []::VARCHAR[])'))} AS keywords
+FROM documents d LEFT JOIN tr_l l USING (doc_id)""")
+def trk1_textrank_extract(spark, sf):
+    kw = TR.extract(docs_by_id(spark, sf))
+    return kw.select("doc_id", show_list("keywords").alias("keywords"))

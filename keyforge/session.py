@@ -19,6 +19,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # A union of children that were shuffled by separate exchanges must not
+    # claim their hash partitioning: AQE may coalesce those exchanges
+    # differently, and an aggregate placed directly on the union would then
+    # see one key in two partitions.
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -49,6 +54,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def tune(spark: SparkSession) -> None:
     """Apply the session settings the operators rely on (idempotent)."""
     for k in ("spark.sql.requireAllClusterKeysForCoPartition",
+              "spark.sql.unionOutputPartitioning",
               "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, DEFAULT_CONF[k])
