@@ -45,7 +45,11 @@ def block_table(docs: DataFrame) -> DataFrame:
 def token_table(docs: DataFrame, reach: int = 2) -> DataFrame:
     """(doc_id, n_sent, sid, bid, tid, tok, nxt1..nxt{reach}) with ``nxt*`` the
     following tokens of the same block (null past its end)."""
-    b = block_table(docs).where(F.size("toks") > 0)
+    return token_table_from_blocks(block_table(docs).where(F.size("toks") > 0), reach)
+
+
+def token_table_from_blocks(b: DataFrame, reach: int = 2) -> DataFrame:
+    """Token rows of a (possibly shared, persisted) block table."""
 
     def item(x, i):
         fields = [x.alias("tok")] + [F.get(F.col("toks"), i + d).alias(f"nxt{d}")

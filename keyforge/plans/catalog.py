@@ -8,7 +8,7 @@ import importlib
 from keyforge.plans import registry
 from keyforge.session import tune
 
-MODULES = ("q_text", "q_eval", "q_extract", "q_prompt", "q_model")
+MODULES = ("q_text", "q_eval", "q_extract", "q_prompt", "q_model", "q_stages")
 
 
 def _load():
@@ -37,4 +37,4 @@ def oracle_sql():
 def flagship(spark, sf_dir):
     _load()
     tune(spark)
-    return registry.QUERIES["min_slice_by_lang"](spark, sf_dir)
+    return registry.QUERIES["agg6_method_report"](spark, sf_dir)
