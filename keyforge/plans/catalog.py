@@ -8,7 +8,7 @@ import importlib
 from keyforge.plans import registry
 from keyforge.session import tune
 
-MODULES = ("q_text", "q_eval", "q_extract", "q_prompt", "q_model", "q_stages")
+MODULES = ("q_text", "q_eval", "q_extract", "q_prompt", "q_model", "q_stages", "q_ingest", "q_sup")
 
 
 def _load():
