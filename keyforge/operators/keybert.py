@@ -180,9 +180,12 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
             break
         bound_first = F.col("next_sim")
         bound_rest = F.lit(1.0 - d) * F.col("next_sim") - F.lit(d * sim_floor)
-        ok = F.col("next_sim").isNull() | F.forall(
+        # Exact when nothing lies outside the cut, or when all k picks were
+        # made inside it and each beat the best score an outside candidate
+        # could reach at that step.
+        ok = F.col("next_sim").isNull() | ((F.size("picks") >= k) & F.forall(
             F.transform("picks", lambda p, i: F.when(i == 0, p["score"] > bound_first).otherwise(p["score"] > bound_rest)),
-            lambda b: b)
+            lambda b: b))
         results.append(picked.where(ok))
         open_keys = picked.where(~ok).select(key)
     out = results[0]
