@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,10 @@ def greedy_walk(ranked: DataFrame, k: int, accept: Callable[[Column, Column], Co
         else:
             init = empty
         items = F.coalesce(F.col("c"), F.array().cast(F.ArrayType(item_type)))
-        walked = arrs.select(key, F.aggregate(items, init, step).alias("kept"), "_last")
+        # Persisted: the next pass reads the open documents from it, so the
+        # walk of this pass is computed once.
+        walked = (arrs.select(key, F.aggregate(items, init, step).alias("kept"), "_last")
+                  .persist(StorageLevel.MEMORY_AND_DISK))
         if hi is None:
             results.append(walked.select(key, "kept"))
             break

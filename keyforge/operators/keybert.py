@@ -27,6 +27,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyforge.session import cut_lineage
+
 from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE, empty_strs, postprocess
 
@@ -83,7 +85,8 @@ def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     """KEY3-KEY4: (doc_id, phrase, sim, terms: array<struct<term, w>>, norm)."""
     words = docs.select("doc_id", _words(F.col("text"), cfg.stopwords).alias("w"))
     dterm = (words.select("doc_id", F.explode("w").alias("term"))
-             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
     n_docs = docs.count()
     df_ = dterm.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.select("term", (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
@@ -174,7 +177,9 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
         arrs = part.groupBy(key).agg(
             F.sort_array(F.collect_list(F.when(inside, item))).alias("items"),
             F.max(F.when(~inside, F.col("sim"))).alias("next_sim"))
-        picked = arrs.select(key, _mmr_array(F.col("items"), k, d, pair_sim).alias("picks"), "next_sim")
+        # Persisted: the next tier takes its open keys from this result.
+        picked = (arrs.select(key, _mmr_array(F.col("items"), k, d, pair_sim).alias("picks"), "next_sim")
+                  .persist(StorageLevel.MEMORY_AND_DISK))
         if m is None:
             results.append(picked)
             break
@@ -246,8 +251,8 @@ def extract(docs: DataFrame, cfg: KeyBertConfig | None = None) -> DataFrame:
     lists = (r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
              .select("doc_id", postprocess(F.col("s.phrase"), cfg.lowercase, cfg.min_len, cfg.max_len,
                                            cfg.dedupe).alias("keywords")))
-    return (docs.select("doc_id").join(lists, "doc_id", "left")
-            .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))
+    return cut_lineage(docs.select("doc_id").join(lists, "doc_id", "left")
+                       .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))
 
 
 def embedding_mmr(vectors: DataFrame, k: int = 5, d: float = 0.6, group: str = "label",

@@ -31,6 +31,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyforge.session import cut_lineage
+
 from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import empty_strs, postprocess
 from keyforge.operators.greedy import greedy_walk
@@ -199,5 +201,5 @@ def extract(docs: DataFrame, cfg: YakeConfig | None = None, toks: DataFrame | No
              .agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
              .select("doc_id", postprocess(F.col("s.phrase"), cfg.lowercase, cfg.min_len, cfg.max_len,
                                            cfg.dedupe).alias("keywords")))
-    return (docs.select("doc_id").join(lists, "doc_id", "left")
-            .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))
+    return cut_lineage(docs.select("doc_id").join(lists, "doc_id", "left")
+                       .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))

@@ -77,3 +77,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="keyforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Write ``df`` to the session's (shared) checkpoint folder and continue
+    from it.  Used after multi-stage operators whose outputs are small
+    (per-document keyword lists) so that later plans stay short: fault
+    tolerant (no lineage replay after an executor loss) and cheap to plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
