@@ -20,13 +20,23 @@ from pyspark.sql import functions as F
 CHUNKS = (64, 512, 4096, None)
 
 
-def greedy_walk(ranked: DataFrame, k: int, accept: Callable[[Column, Column], Column],
-                item_cols: list[str], rank_col: str = "rk", key: str = "doc_id",
+def greedy_walk(cands: DataFrame, k: int, accept: Callable[[Column, Column], Column],
+                item_cols: list[str], order: list | None = None, rank_col: str = "rk", key: str = "doc_id",
                 chunks=CHUNKS) -> DataFrame:
-    """``ranked``: one row per candidate with ``key``, 1-based ``rank_col`` and
-    ``item_cols``.  ``accept(kept_array, item)`` -> boolean Column.
-    Returns (key, kept: array<struct<rank, item_cols...>>) in walk order."""
-    item_type = ranked.select(F.struct(F.col(rank_col).alias("rk"), *item_cols).alias("s")).schema["s"].dataType
+    """``cands``: one row per candidate with ``key`` and ``item_cols``, walked
+    in ``order`` (or, when ``order`` is None, by an existing 1-based
+    ``rank_col``).  ``accept(kept_array, item)`` -> boolean Column.
+    Returns (key, kept: array<struct<rank, item_cols...>>) in walk order.
+
+    Ranks are computed per pass: the first pass keeps only the top ``c1``
+    per document in every task before sorting (window group limit); later
+    passes rank only the documents still open."""
+    from pyspark.sql import Window
+    if order is not None:
+        cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
+        w = Window.partitionBy(key).orderBy(*order)
+    probe = cands if order is None else cands.withColumn(rank_col, F.lit(1))
+    item_type = probe.select(F.struct(F.col(rank_col).alias("rk"), *item_cols).alias("s")).schema["s"].dataType
     empty = F.array().cast(F.ArrayType(item_type))
 
     def step(acc, x):
@@ -36,9 +46,12 @@ def greedy_walk(ranked: DataFrame, k: int, accept: Callable[[Column, Column], Co
     state = None  # (key, kept) of documents still open
     lo = 0
     for hi in chunks:
-        part = ranked.where(F.col(rank_col) > lo)
+        part = cands if state is None else cands.join(state.select(key), key, "left_semi")
+        if order is not None:
+            part = part.withColumn(rank_col, F.row_number().over(w))
         if hi is not None:
             part = part.where(F.col(rank_col) <= hi)
+        part = part.where(F.col(rank_col) > lo)
         arrs = (part.groupBy(key)
                 .agg(F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("rk"), *item_cols))).alias("c"),
                      F.max(rank_col).alias("_last")))

@@ -108,15 +108,18 @@ def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     out = per.join(dnorm, "doc_id").select(
         "doc_id", "phrase", F.round(dot / (F.col("dnorm") * cnorm), SIM_DIGITS).alias("sim"),
         F.transform("s", lambda x: F.struct(x["term"].alias("term"), x["w"].alias("w"))).alias("terms"),
-        cnorm.alias("norm"))
+        cnorm.alias("norm"), F.col("s.term").alias("tn"))
     return out
 
 
 def term_pair_sim(a: Column, b: Column) -> Column:
-    """Cosine of two sparse candidate vectors (terms sorted by term)."""
+    """Cosine of two sparse candidate vectors (terms sorted by term).  Pairs
+    without a shared term are 0 and are settled by the native
+    ``arrays_overlap`` test before any lambda runs."""
     dot = F.aggregate(a["terms"], F.lit(0.0), lambda acc, t: acc + t["w"] * F.aggregate(
         F.filter(b["terms"], lambda u: u["term"] == t["term"]), F.lit(0.0), lambda z, u: z + u["w"]))
-    return F.round(dot / (a["norm"] * b["norm"]), SIM_DIGITS)
+    return F.when(F.arrays_overlap(a["tn"], b["tn"]), F.round(dot / (a["norm"] * b["norm"]), SIM_DIGITS)) \
+        .otherwise(F.lit(0.0))
 
 
 def dense_pair_sim(a: Column, b: Column) -> Column:
@@ -165,11 +168,15 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
                name: str = "phrase", sim_floor: float = 0.0, tiers=TIERS) -> DataFrame:
     """KEY5 over (key, name, sim, item_cols...): (key, rank, name, sim, score)."""
     w = Window.partitionBy(key).orderBy(F.col("sim").desc(), F.col(name))
-    ranked = cands.withColumn("rk", F.row_number().over(w)).persist(StorageLevel.MEMORY_AND_DISK)
+    cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
     results = []
     open_keys = None
     for m in tiers:
-        part = ranked if open_keys is None else ranked.join(open_keys, key, "left_semi")
+        # Rank per tier: the literal bound lets Spark keep only the top
+        # m + 1 per document in every task before sorting (window group
+        # limit); later tiers rank only the documents still open.
+        part = cands if open_keys is None else cands.join(open_keys, key, "left_semi")
+        part = part.withColumn("rk", F.row_number().over(w))
         if m is not None:
             part = part.where(F.col("rk") <= m + 1)
         item = F.struct(F.col(name).alias("name"), F.col("sim"), *[F.col(c) for c in item_cols])
@@ -208,7 +215,7 @@ def ranked_keyphrases(docs: DataFrame, cfg: KeyBertConfig | None = None) -> Data
     if cfg.use_maxsum:
         return maxsum_select(cands, cfg.top_k, cfg.nr_candidates)
     if cfg.use_mmr:
-        return mmr_select(cands, cfg.top_k, cfg.diversity, ["terms", "norm"], term_pair_sim).drop("score")
+        return mmr_select(cands, cfg.top_k, cfg.diversity, ["terms", "norm", "tn"], term_pair_sim).drop("score")
     w = Window.partitionBy("doc_id").orderBy(F.col("sim").desc(), F.col("phrase"))
     return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.top_k)
             .select("doc_id", "rank", "phrase", "sim"))
@@ -223,7 +230,7 @@ def maxsum_select(cands: DataFrame, top_n: int, nr_candidates: int) -> DataFrame
     w = Window.partitionBy("doc_id").orderBy(F.col("sim").desc(), F.col("phrase"))
     top = cands.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= nr_candidates)
     arr = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(
-        F.struct("rk", "phrase", "sim", "terms", "norm"))).alias("c"))
+        F.struct("rk", "phrase", "sim", "terms", "norm", "tn"))).alias("c"))
     import itertools
     combos = [list(c) for c in itertools.combinations(range(1, nr_candidates + 1), top_n)]
     lit_combos = F.array(*[F.array(*[F.lit(i) for i in c]) for c in combos])

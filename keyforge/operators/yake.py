@@ -109,20 +109,18 @@ def candidates(toks: DataFrame, terms: DataFrame, edges: DataFrame, cfg: YakeCon
     """YAK5: (doc_id, phrase, score) for every valid candidate."""
     n = cfg.max_ngram_size
     stopset = list(cfg.stopwords)
+    # All 1..n-grams starting at a token come out of one explode (no union,
+    # so the doc_id partitioning is kept and the aggregate below needs no
+    # shuffle).
+    src = ["tok"] + [f"nxt{d}" for d in range(1, n)]
+    null = F.lit(None).cast("string")
     grams = []
     for size in range(1, n + 1):
-        cols = ["tok"] + [f"nxt{d}" for d in range(1, size)]
-        sel = [F.lower(F.col(c)).alias(f"t{i}") for i, c in enumerate(cols)]
-        g = toks.select("doc_id", *sel)
-        if size > 1:
-            g = g.where(F.col(f"t{size - 1}").isNotNull())
-        for i in range(size, n):
-            g = g.withColumn(f"t{i}", F.lit(None).cast("string"))
-        g = g.withColumn("size", F.lit(size))
-        grams.append(g)
-    g = grams[0]
-    for x in grams[1:]:
-        g = g.unionByName(x)
+        fields = [(F.lower(F.col(src[i])) if i < size else null).alias(f"t{i}") for i in range(n)]
+        grams.append(F.struct(*fields, F.lit(size).alias("size")))
+    g = toks.select("doc_id", F.explode(F.filter(F.array(*grams), lambda x: x[f"t0"].isNotNull() & F.coalesce(
+        *[F.when(x["size"] == sz, x[f"t{sz - 1}"].isNotNull()) for sz in range(1, n + 1)]))).alias("g"))
+    g = g.select("doc_id", *[F.col(f"g.t{i}").alias(f"t{i}") for i in range(n)], F.col("g.size").alias("size"))
     parts = [F.col(f"t{i}") for i in range(n)]
     last = F.coalesce(*reversed(parts))
     ok = ~_stop(F.col("t0"), stopset) & ~_stop(last, stopset)
@@ -184,9 +182,9 @@ def ranked_keyphrases(docs: DataFrame, cfg: YakeConfig | None = None, toks: Data
     terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
     edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
     cand = candidates(toks, terms, edges, cfg)
-    w = Window.partitionBy("doc_id").orderBy(F.round("score", SCORE_DIGITS), "phrase")
-    ranked = cand.withColumn("rk", F.row_number().over(w)).persist(StorageLevel.MEMORY_AND_DISK)
-    kept = greedy_walk(ranked, cfg.top_k, _similar(cfg.dedup_thresh), ["phrase", "score"])
+    cand = cand.withColumn("score_r", F.round("score", SCORE_DIGITS))
+    kept = greedy_walk(cand, cfg.top_k, _similar(cfg.dedup_thresh), ["phrase", "score"],
+                       order=[F.col("score_r"), F.col("phrase")])
     return (kept.select("doc_id", F.posexplode("kept").alias("pos", "k"))
             .select("doc_id", (F.col("pos") + 1).alias("rank"), F.col("k.phrase").alias("phrase"),
                     F.col("k.score").alias("score")))

@@ -40,7 +40,7 @@ def test_yake_lists_bounded_and_clean(spark, docs):
 
 def test_mmr_diversity_zero_is_cosine_order(spark, docs):
     cands = KB.tfidf_candidates(docs, KB.KeyBertConfig())
-    mmr = KB.mmr_select(cands, 10, 0.0, ["terms", "norm"], KB.term_pair_sim)
+    mmr = KB.mmr_select(cands, 10, 0.0, ["terms", "norm", "tn"], KB.term_pair_sim)
     w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("doc_id").orderBy(
         F.col("sim").desc(), F.col("phrase"))
     plain = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10)
@@ -51,8 +51,8 @@ def test_mmr_diversity_zero_is_cosine_order(spark, docs):
 
 def test_mmr_tiers_are_exact(spark, docs):
     cands = KB.tfidf_candidates(docs, KB.KeyBertConfig())
-    small = KB.mmr_select(cands, 20, 0.6, ["terms", "norm"], KB.term_pair_sim, tiers=(2, 8, None))
-    full = KB.mmr_select(cands, 20, 0.6, ["terms", "norm"], KB.term_pair_sim, tiers=(None,))
+    small = KB.mmr_select(cands, 20, 0.6, ["terms", "norm", "tn"], KB.term_pair_sim, tiers=(2, 8, None))
+    full = KB.mmr_select(cands, 20, 0.6, ["terms", "norm", "tn"], KB.term_pair_sim, tiers=(None,))
     key = lambda df: {(r["doc_id"], r["rank"], r["phrase"]) for r in rows(df.select("doc_id", "rank", "phrase"))}
     assert key(small) == key(full)
 
@@ -70,9 +70,8 @@ def test_greedy_chunks_are_exact(spark, docs):
     toks = TK.token_table(docs)
     terms, edges = Y.term_scores(toks, Y.YakeConfig())
     cand = Y.candidates(toks, terms, edges, Y.YakeConfig())
-    from pyspark.sql import Window
-    ranked = cand.withColumn("rk", F.row_number().over(Window.partitionBy("doc_id").orderBy("score", "phrase")))
-    a = greedy_walk(ranked, 20, Y._similar(0.9), ["phrase", "score"], chunks=(3, 7, None))
-    b = greedy_walk(ranked, 20, Y._similar(0.9), ["phrase", "score"], chunks=(None,))
+    order = [F.col("score"), F.col("phrase")]
+    a = greedy_walk(cand, 20, Y._similar(0.9), ["phrase", "score"], order=order, chunks=(3, 7, None))
+    b = greedy_walk(cand, 20, Y._similar(0.9), ["phrase", "score"], order=order, chunks=(None,))
     f = lambda df: {(r["doc_id"], tuple(x["phrase"] for x in r["kept"])) for r in rows(df)}
     assert f(a) == f(b)
