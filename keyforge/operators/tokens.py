@@ -7,10 +7,9 @@ whitespace); tokens are ``[\\p{L}\\p{N}]+`` runs inside a block.  Candidate
 phrases never cross a block; neighbour relations are taken inside a block.
 
 The neighbours of a token are read from the block's token array by index in
-the same projection that explodes it, so no window sort is needed; the
+the same projection that explodes it, so no window sort is needed, and the
 result stays partitioned like the input (hash on ``doc_id`` after
-``by_doc``), and every later aggregate keyed by ``doc_id`` runs without a
-further shuffle.
+``by_doc``).
 """
 
 from __future__ import annotations

@@ -25,10 +25,10 @@ def by_doc(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hash-partition once by document id.
 
     Everything downstream (token tables, term statistics, candidate windows,
-    co-partitioned joins) is keyed by ``doc_id`` first, so with
+    joins) is keyed by ``doc_id`` first; with AQE off and
     ``requireAllClusterKeysForCoPartition=false`` this is the only shuffle of
-    the per-document pipeline.  No partition count is fixed so AQE can size
-    it from the data.
+    the per-document pipeline (see ``keyforge.session``).  No partition count
+    is fixed so AQE can size it from the data.
     """
     return df.repartition(F.col(key))
 
