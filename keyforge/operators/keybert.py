@@ -282,3 +282,39 @@ def embedding_mmr(vectors: DataFrame, k: int = 5, d: float = 0.6, group: str = "
         F.col("norm") * F.col("mnorm"))
     c = j.select(group, "name", F.round(sim, SIM_DIGITS).alias("sim"), "vec", "norm")
     return mmr_select(c, k, d, ["vec", "norm"], dense_pair_sim, key=group, name="name", sim_floor=-1.0)
+
+
+def word2vec_candidates(docs: DataFrame, cfg: KeyBertConfig | None = None, vector_size: int = 32,
+                        min_count: int = 2, seed: int = 42) -> DataFrame:
+    """KEY4(b): MLlib ``Word2Vec`` trained on the corpus; a document and a
+    candidate are the mean vectors of their words.  Returns (doc_id,
+    phrase, sim, vec, norm) for ``mmr_select`` with ``dense_pair_sim``.
+    The word-vector table is joined (broadcast only when its row count is
+    below the checked bound)."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+    cfg = cfg or KeyBertConfig()
+    words = docs.select("doc_id", _words(F.col("text"), cfg.stopwords).alias("w"))
+    model = Word2Vec(vectorSize=vector_size, minCount=min_count, seed=seed, maxIter=1,
+                     inputCol="w", outputCol="v").fit(words)
+    vecs = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("wv"))
+    vecs = _broadcast_if_small(vecs, BROADCAST_MAX_TERMS)
+    ct = candidate_terms(docs, cfg).join(vecs, "term")
+    dims = list(range(vector_size))
+
+    def mean_vec(df, keys):
+        exploded = df.select(*keys, "cnt", F.posexplode("wv").alias("i", "x"))
+        s = exploded.groupBy(*keys, "i").agg((F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")).alias("m"))
+        return s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select(
+            *keys, F.col("s.m").alias("vec"))
+
+    cvec = mean_vec(ct, ["doc_id", "phrase"])
+    dterm = (words.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term")
+             .agg(F.count(F.lit(1)).alias("cnt")).join(vecs, "term"))
+    dvec = mean_vec(dterm, ["doc_id"]).withColumnRenamed("vec", "dvec")
+    del dims
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda z, x: z + x * x))
+    j = cvec.join(dvec, "doc_id")
+    dot = F.aggregate(F.zip_with("vec", "dvec", lambda x, y: x * y), F.lit(0.0), lambda z, v: z + v)
+    return j.select("doc_id", "phrase", F.round(dot / (norm(F.col("vec")) * norm(F.col("dvec"))), SIM_DIGITS).alias("sim"),
+                    "vec", norm(F.col("vec")).alias("norm")).where(F.col("sim").isNotNull())

@@ -57,7 +57,18 @@ def _stop(term, stopwords):
     return term.isin(list(stopwords)) | (F.length(term) < 3)
 
 
-def term_scores(toks: DataFrame, cfg: YakeConfig) -> tuple[DataFrame, DataFrame]:
+def _joined_stats(stats, left, right, cfg):
+    return (stats.join(left, ["doc_id", "term"], "left").join(right, ["doc_id", "term"], "left")
+            .withColumn("stop", _stop(F.col("term"), cfg.stopwords)))
+
+
+def term_statistics(toks: DataFrame, cfg: YakeConfig) -> DataFrame:
+    """YAK2 + YAK3: (doc_id, term, tf, tf_a, tf_n, sf, med, n_sent, wdl, wil,
+    wdr, wir, stop) before scoring."""
+    return term_scores(toks, cfg, raw=True)
+
+
+def term_scores(toks: DataFrame, cfg: YakeConfig, raw: bool = False):
     """YAK2-YAK4. Returns (terms(doc_id, term, tf, stop, H), edges(doc_id, a, b, w))."""
     t = toks.select(
         "doc_id", "n_sent", "sid", "bid", "tid", F.lower("tok").alias("term"), "tok",
@@ -86,8 +97,9 @@ def term_scores(toks: DataFrame, cfg: YakeConfig) -> tuple[DataFrame, DataFrame]
         F.count(F.lit(1)).alias("wdr"), F.sum("w").alias("wir"))
     left = edges.groupBy("doc_id", F.col("b").alias("term")).agg(
         F.count(F.lit(1)).alias("wdl"), F.sum("w").alias("wil"))
-    s = (stats.join(left, ["doc_id", "term"], "left").join(right, ["doc_id", "term"], "left")
-         .withColumn("stop", _stop(F.col("term"), cfg.stopwords)))
+    s = _joined_stats(stats, left, right, cfg)
+    if raw:
+        return s
     doc = Window.partitionBy("doc_id")
     valid_tf = F.when(~F.col("stop"), F.col("tf"))
     s = (s.withColumn("max_tf", F.max("tf").over(doc))

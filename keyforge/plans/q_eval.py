@@ -114,3 +114,20 @@ def min_slice_by_lang(spark, sf):
     p, r, f = M.prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return s.select("lang", "n_docs", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
                     F.round(f, 6).alias("f1"), r6("rouge1").alias("rouge1"))
+
+
+@register("agg7_evaluation_report", "WITH " + O.kw_pairs_cte() + f""",
+sc AS (SELECT {_TP} AS tp, {_FP} AS fp, {_FN} AS fn, {O.rouge1(_PT, _RT)} AS r1, {O.rougeL(_PT, _RT)} AS rl FROM kw_pairs),
+ag AS (SELECT sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(r1) AS s1, sum(rl) AS sl, count(*) AS n FROM sc)
+SELECT round(s1 / greatest(n, 1), 6) AS rouge1, round(sl / greatest(n, 1), 6) AS rougeL,
+       round((s1 + sl) / (2 * greatest(n, 1)), 6) AS rouge_avg,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+       round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 6) AS f1,
+       greatest(n, 1)::BIGINT AS count
+FROM ag""")
+def agg7_evaluation_report(spark, sf):
+    """AGG7: ROUGE means and micro set-F1 of one prediction table, one row."""
+    r = M.evaluation_report(_pairs(spark, sf))
+    return r.select(*[r6(c).alias(c) for c in ("rouge1", "rougeL", "rouge_avg", "precision", "recall", "f1")],
+                    F.col("count").cast("bigint").alias("count"))

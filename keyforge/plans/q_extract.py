@@ -113,3 +113,51 @@ FROM documents d LEFT JOIN tr_l l USING (doc_id)""")
 def trk1_textrank_extract(spark, sf):
     kw = TR.extract(docs_by_id(spark, sf))
     return kw.select("doc_id", show_list("keywords").alias("keywords"))
+
+
+@register("key4b_word2vec_mmr")
+def key4b_word2vec_mmr(spark, sf):
+    """KEY4(b) + KEY5: Word2Vec encoder, MMR with the dense similarity."""
+    c = KB.word2vec_candidates(docs_by_id(spark, sf))
+    r = KB.mmr_select(c, 10, 0.6, ["vec", "norm"], KB.dense_pair_sim, sim_floor=-1.0)
+    return r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_picked"))
+
+
+@register("key6_maxsum")
+def key6_maxsum(spark, sf):
+    """KEY6: Max Sum Similarity, 5 of the 10 best candidates per document."""
+    c = KB.tfidf_candidates(docs_by_id(spark, sf), KB.KeyBertConfig())
+    r = KB.maxsum_select(c, 5, 10)
+    return (r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
+            .select("doc_id", show_list(F.col("s.phrase")).alias("keywords")))
+
+
+@register("yak2_yak3_term_statistics", "WITH " + tokens_cte() + "," + yake_cte() + """
+SELECT j.doc_id, count(*) AS n_terms, sum(j.tf)::BIGINT AS sum_tf, sum(j.sf)::BIGINT AS sum_sf,
+       round(sum(j.med), 6) AS sum_median, sum(coalesce(j.wdl, 0))::BIGINT AS sum_wdl,
+       sum(coalesce(j.wdr, 0))::BIGINT AS sum_wdr, sum(j.tf_a)::BIGINT AS sum_tf_a, sum(j.tf_n)::BIGINT AS sum_tf_n,
+       count(*) FILTER (WHERE j.stop) AS n_stop
+FROM y_j j GROUP BY j.doc_id""")
+def yak2_yak3_term_statistics(spark, sf):
+    """YAK2 / YAK3: per-term tf, case counts, sentence spread and median,
+    distinct neighbours, summed per document."""
+    cfg = Y.YakeConfig()
+    t = TK.token_table(docs_by_id(spark, sf))
+    stats = Y.term_statistics(t, cfg)
+    return stats.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("tf").cast("bigint").alias("sum_tf"),
+        F.sum("sf").cast("bigint").alias("sum_sf"), F.round(F.sum("med"), 6).alias("sum_median"),
+        F.sum(F.coalesce("wdl", F.lit(0))).cast("bigint").alias("sum_wdl"),
+        F.sum(F.coalesce("wdr", F.lit(0))).cast("bigint").alias("sum_wdr"),
+        F.sum("tf_a").cast("bigint").alias("sum_tf_a"), F.sum("tf_n").cast("bigint").alias("sum_tf_n"),
+        F.count(F.when(F.col("stop"), 1)).alias("n_stop"))
+
+
+@register("trk2_term_graph", "WITH " + tokens_cte() + "," + OX.textrank_cte() + """
+SELECT doc_id, count(*) AS n_edges, sum(w)::BIGINT AS total_weight, count(DISTINCT src) AS n_nodes FROM tr_e GROUP BY doc_id""")
+def trk2_term_graph(spark, sf):
+    cfg = TR.TextRankConfig()
+    blocks = TK.block_table(docs_by_id(spark, sf)).where(F.size("toks") > 0)
+    g = TR.graph(blocks, cfg)
+    return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("w").cast("bigint").alias("total_weight"),
+                                   F.countDistinct("src").alias("n_nodes"))

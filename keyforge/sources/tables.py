@@ -42,3 +42,11 @@ def load_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 def record(df: DataFrame, doc_id: int) -> DataFrame:
     """SRC4 ``print_record`` / ``get_record``: one record by id."""
     return df.where(F.col("doc_id") == doc_id)
+
+
+def require_columns(df: DataFrame, cols, what: str = "input") -> DataFrame:
+    """FLT6: fail before planning when a required column is missing."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"{what} must contain columns {list(cols)}; missing {missing}, got {df.columns}")
+    return df

@@ -73,3 +73,12 @@ def test_streaming_clean_and_extract(spark):
     q2.stop()
     time.sleep(0.5)
     assert spark.read.parquet(sink).count() == 20
+
+
+def test_required_columns(spark):
+    import pytest
+    from keyforge.sources.tables import require_columns
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert require_columns(df, ["doc_id", "text"]) is df
+    with pytest.raises(ValueError):
+        require_columns(df, ["text", "labels"], "split 'train'")
