@@ -54,14 +54,25 @@ def clean_text(c) -> Column:
     return strip(t)
 
 
+def first_by_fold(items: Column) -> Column:
+    """Keep the first spelling of every case-folded value, order kept.  The
+    folded keys seen so far travel in the fold state, so each element costs
+    one native ``array_contains`` (no inner lambda)."""
+    state = F.struct(empty_strs().alias("k"), empty_strs().alias("v"))
+
+    def step(acc, x):
+        key = fold(x)
+        return F.when(F.array_contains(acc["k"], key), acc).otherwise(
+            F.struct(F.concat(acc["k"], F.array(key)).alias("k"), F.concat(acc["v"], F.array(x)).alias("v")))
+
+    return F.aggregate(items, state, step)["v"]
+
+
 def dedup_ci(arr) -> Column:
     """KWD1 ``_dedup_preserve_order``: strip, drop blanks, keep the first
     spelling of every case-folded value, order kept."""
     items = F.filter(F.transform(col_(arr), strip), lambda x: x.isNotNull() & (x != ""))
-    return F.aggregate(
-        items, empty_strs(),
-        lambda acc, x: F.when(F.exists(acc, lambda y: fold(y) == fold(x)), acc)
-        .otherwise(F.concat(acc, F.array(x))))
+    return first_by_fold(items)
 
 
 def clean_phrases(arr) -> Column:
@@ -126,10 +137,7 @@ def postprocess(arr, lowercase: bool = False, min_len: int = 2,
 
     items = F.filter(items, keep)
     if dedupe:
-        items = F.aggregate(
-            items, empty_strs(),
-            lambda acc, x: F.when(F.exists(acc, lambda y: fold(y) == fold(x)), acc)
-            .otherwise(F.concat(acc, F.array(x))))
+        items = first_by_fold(items)
     return items
 
 

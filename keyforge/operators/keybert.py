@@ -131,36 +131,43 @@ def _mmr_array(items: Column, k: int, d: float, pair_sim) -> Column:
     """MMR over an array of candidate structs sorted by name; returns the
     picks array<struct<name, sim, score>> in selection order.
 
-    Each pick takes two aggregate steps so that nothing is recomputed per
-    element: an odd step scores every candidate once and stores the argmax,
-    the even step folds the chosen item into the max-similarity array."""
+    Each pick takes three aggregate steps so that nothing is recomputed:
+    score every candidate once (stored in the state), take the argmax with
+    native array functions, then fold the chosen item into the
+    max-similarity array."""
     n = F.size(items)
     pick_t = "array<struct<name:string,sim:double,score:double>>"
     init = F.struct(
         F.array().cast("array<int>").alias("sel"),
         F.transform(items, lambda x: F.lit(0.0)).alias("ms"),
         F.array().cast(pick_t).alias("picks"),
+        F.array().cast("array<double>").alias("sc"),
         F.lit(0).alias("j"), F.lit(0.0).alias("best"))
 
+    def state(acc, **over):
+        names = ("sel", "ms", "picks", "sc", "j", "best")
+        return F.struct(*[(over[nm] if nm in over else acc[nm]).alias(nm) for nm in names])
+
+    def score(acc):
+        sc = F.transform(items, lambda c, i: F.when(F.array_contains(acc["sel"], i + 1), F.lit(None).cast("double"))
+                         .when(F.size(acc["sel"]) == 0, c["sim"])
+                         .otherwise(F.lit(1.0 - d) * c["sim"] - F.lit(d) * F.element_at(acc["ms"], i + 1)))
+        return state(acc, sc=sc)
+
     def choose(acc):
-        scores = F.transform(items, lambda c, i: F.when(F.array_contains(acc["sel"], i + 1), F.lit(None).cast("double"))
-                             .when(F.size(acc["sel"]) == 0, c["sim"])
-                             .otherwise(F.lit(1.0 - d) * c["sim"] - F.lit(d) * F.element_at(acc["ms"], i + 1)))
-        best = F.array_max(scores)
-        j = F.array_position(scores, best).cast("int")
-        return F.struct(acc["sel"].alias("sel"), acc["ms"].alias("ms"), acc["picks"].alias("picks"),
-                        j.alias("j"), best.alias("best"))
+        best = F.array_max(acc["sc"])
+        return state(acc, j=F.array_position(acc["sc"], best).cast("int"), best=best)
 
     def fold(acc):
         chosen = F.element_at(items, acc["j"])
         new_ms = F.transform(acc["ms"], lambda m, i: F.greatest(m, pair_sim(F.element_at(items, i + 1), chosen)))
         pick = F.struct(chosen["name"].alias("name"), chosen["sim"].alias("sim"), acc["best"].alias("score"))
-        return F.struct(F.concat(acc["sel"], F.array(acc["j"])).alias("sel"), new_ms.alias("ms"),
-                        F.concat(acc["picks"], F.array(pick)).alias("picks"), acc["j"].alias("j"),
-                        acc["best"].alias("best"))
+        return state(acc, sel=F.concat(acc["sel"], F.array(acc["j"])), ms=new_ms,
+                     picks=F.concat(acc["picks"], F.array(pick)))
 
-    steps = F.sequence(F.lit(1), F.least(F.lit(k), n) * 2)
-    walk = F.aggregate(steps, init, lambda acc, s: F.when(s % 2 == 1, choose(acc)).otherwise(fold(acc)))
+    steps = F.sequence(F.lit(1), F.least(F.lit(k), n) * 3)
+    walk = F.aggregate(steps, init, lambda acc, s: F.when(s % 3 == 1, score(acc))
+                       .when(s % 3 == 2, choose(acc)).otherwise(fold(acc)))
     return F.when(n == 0, F.array().cast(pick_t)).otherwise(walk["picks"])
 
 
