@@ -12,7 +12,7 @@ KEY5 MMR: first the best cosine to the document, then repeatedly
 alphabetically first phrase (the vocabulary order of the reference).
 
 Exact and bounded: MMR runs on each document's top ``M`` candidates by
-document similarity for ``M`` in (64, 512, 4096, all).  Every candidate
+document similarity for ``M`` in (32, 256, 2048, all).  Every candidate
 outside the cut scores at most ``(1 - d) * sim[M + 1] - d * floor`` (floor =
 lowest possible pair similarity), so when every pick beats that bound the
 result equals MMR over all candidates; otherwise only that document moves
@@ -33,7 +33,7 @@ from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE, empty_strs, postprocess
 
 SIM_DIGITS = 12
-TIERS = (64, 512, 4096, None)
+TIERS = (32, 256, 2048, None)
 BROADCAST_MAX_TERMS = 5_000_000
 
 
