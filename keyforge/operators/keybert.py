@@ -82,10 +82,17 @@ def _broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
-    """KEY3-KEY4: (doc_id, phrase, sim, terms: array<struct<term, w>>, norm)."""
+    """KEY3-KEY4: (doc_id, phrase, sim, terms: array<struct<term, w>>, norm, tn).
+
+    Every word token is joined once with its document weight (tf * idf) and
+    idf; n-grams are cut from the document's weighted token sequence, made
+    distinct per document by one aggregate, and each candidate's dot product
+    and norm are folded over its (at most ``n``) distinct terms in term
+    order."""
+    lo, hi = cfg.ngram_range
     words = docs.select("doc_id", _words(F.col("text"), cfg.stopwords).alias("w"))
-    dterm = (words.select("doc_id", F.explode("w").alias("term"))
-             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokpos = words.select("doc_id", F.posexplode("w").alias("pos", "term"))
+    dterm = (tokpos.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
              .persist(StorageLevel.MEMORY_AND_DISK))
     n_docs = docs.count()
     df_ = dterm.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -95,21 +102,33 @@ def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     dnorm = (dw.groupBy("doc_id")
              .agg(F.array_sort(F.collect_list(F.struct("term", "wd"))).alias("s"))
              .select("doc_id", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["wd"] * x["wd"])).alias("dnorm")))
-    ct = candidate_terms(docs, cfg)
+    ann = tokpos.join(dw, ["doc_id", "term"])
+    seq = (ann.groupBy("doc_id")
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf", "wd"))).alias("a"))
+           .select("doc_id", F.transform("a", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf"),
+                                                                 x["wd"].alias("wd"))).alias("a")))
+    grams = seq.select("doc_id", F.explode(F.filter(F.flatten(F.transform(
+        "a", lambda x, i: F.array(*[F.slice(F.col("a"), i + 1, n) for n in range(lo, hi + 1)]))),
+        lambda g: F.size(g) >= lo)).alias("g"))
+    grams = grams.select("doc_id", F.array_join(F.col("g.term"), " ").alias("phrase"), "g")
+    # Distinct candidates per document: one aggregate (all occurrences of a
+    # phrase carry the same weights).
+    grams = grams.groupBy("doc_id", "phrase").agg(F.first("g").alias("g"))
     if cfg.min_df > 1:
-        keep = ct.select("doc_id", "phrase").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("pdf"))
-        ct = ct.join(keep.where(F.col("pdf") >= cfg.min_df).select("phrase"), "phrase")
-    cw = ct.join(dw, ["doc_id", "term"]).select(
-        "doc_id", "phrase", "term", (F.col("cnt") * F.col("idf")).alias("w"), "wd")
-    per = (cw.groupBy("doc_id", "phrase")
-           .agg(F.array_sort(F.collect_list(F.struct("term", "w", "wd"))).alias("s")))
+        keep = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("pdf")).where(F.col("pdf") >= cfg.min_df)
+        grams = grams.join(keep.select("phrase"), "phrase")
+    g = F.col("g")
+    st = F.array_sort(F.array_distinct(g))  # distinct terms (at most n), ordered by term
+    cnt = lambda t: F.size(F.filter(g, lambda y: y["term"] == t["term"]))
+    weights = F.transform(st, lambda t: F.struct(t["term"].alias("term"), (cnt(t) * t["idf"]).alias("w"),
+                                                 t["wd"].alias("wd")))
+    c = grams.select("doc_id", "phrase", weights.alias("s"))
     dot = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["wd"] * x["w"])
     cnorm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    out = per.join(dnorm, "doc_id").select(
+    return c.join(dnorm, "doc_id").select(
         "doc_id", "phrase", F.round(dot / (F.col("dnorm") * cnorm), SIM_DIGITS).alias("sim"),
         F.transform("s", lambda x: F.struct(x["term"].alias("term"), x["w"].alias("w"))).alias("terms"),
         cnorm.alias("norm"), F.col("s.term").alias("tn"))
-    return out
 
 
 def term_pair_sim(a: Column, b: Column) -> Column:
