@@ -12,7 +12,9 @@ KEY5 MMR: first the best cosine to the document, then repeatedly
 alphabetically first phrase (the vocabulary order of the reference).
 
 Exact and bounded: MMR runs on each document's top ``M`` candidates by
-document similarity for ``M`` in (32, 256, 2048, all).  Every candidate
+document similarity for ``M`` in (32, 256, 2048); groups still open after
+that run the relational MMR (one distributed argmax and one join per pick),
+so no group is ever collected whole.  Every candidate
 outside the cut scores at most ``(1 - d) * sim[M + 1] - d * floor`` (floor =
 lowest possible pair similarity), so when every pick beats that bound the
 result equals MMR over all candidates; otherwise only that document moves
@@ -33,7 +35,7 @@ from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE, empty_strs, postprocess
 
 SIM_DIGITS = 12
-TIERS = (32, 256, 2048, None)
+TIERS = (32, 256, 2048, "relational")
 BROADCAST_MAX_TERMS = 5_000_000
 
 
@@ -198,6 +200,9 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
     results = []
     open_keys = None
     for m in tiers:
+        if m == "relational":
+            results.append(_mmr_relational(cands, open_keys, k, d, item_cols, pair_sim, key, name))
+            break
         # Rank per tier: the literal bound lets Spark keep only the top
         # m + 1 per document in every task before sorting (window group
         # limit); later tiers rank only the documents still open.
@@ -234,6 +239,41 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
                     F.col("p.sim").alias("sim"), F.col("p.score").alias("score")))
 
 
+def _mmr_relational(cands: DataFrame, open_keys: DataFrame | None, k: int, d: float, item_cols: list[str],
+                    pair_sim, key: str, name: str) -> DataFrame:
+    """Exact MMR for the groups in ``open_keys`` without collecting a group:
+    each of the ``k`` picks is a distributed argmax (``min_by`` on
+    (-score, name), partial aggregation per task, so a group holding a third
+    of all rows is spread over many tasks) followed by a join that folds the
+    pick into every candidate's max similarity.  Every round is written to
+    the checkpoint folder so the plan does not grow.  Returns (key, picks,
+    next_sim) like the array tiers."""
+    from keyforge.session import cut_lineage
+    cur = cands if open_keys is None else cands.join(open_keys, key, "left_semi")
+    item = F.struct(F.col(name).alias("name"), F.col("sim"), *[F.col(c) for c in item_cols])
+    cur = cut_lineage(cur.select(key, item.alias("it"), F.lit(0.0).alias("ms"), F.lit(False).alias("sel")))
+    picks = []
+    for step in range(1, k + 1):
+        sim = F.col("it.sim")
+        sc = sim if step == 1 else F.lit(1.0 - d) * sim - F.lit(d) * F.col("ms")
+        cand = cur.where(~F.col("sel")).select(key, "it", sc.alias("score"))
+        best = cand.groupBy(key).agg(F.min_by(F.struct("it", "score"),
+                                              F.struct((-F.col("score")).alias("o"), F.col("it.name").alias("n"))).alias("b"))
+        chosen = cut_lineage(best.select(key, F.col("b.it").alias("ch"), F.col("b.score").alias("score")))
+        picks.append(chosen.select(key, F.lit(step).alias("step"), F.struct(
+            F.col("ch.name").alias("name"), F.col("ch.sim").alias("sim"), F.col("score")).alias("p")))
+        j = cur.join(chosen.select(key, "ch"), key, "left")
+        cur = cut_lineage(j.select(
+            key, "it",
+            F.when(F.col("ch").isNull(), F.col("ms")).otherwise(F.greatest("ms", pair_sim(F.col("it"), F.col("ch")))).alias("ms"),
+            (F.col("sel") | (F.col("ch").isNotNull() & (F.col("it.name") == F.col("ch.name")))).alias("sel")))
+    allp = picks[0]
+    for p in picks[1:]:
+        allp = allp.unionByName(p)
+    return (allp.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step", "p"))).alias("s"))
+            .select(key, F.col("s.p").alias("picks"), F.lit(None).cast("double").alias("next_sim")))
+
+
 def ranked_keyphrases(docs: DataFrame, cfg: KeyBertConfig | None = None) -> DataFrame:
     """(doc_id, rank, phrase, sim) in KeyBERT's output order."""
     cfg = cfg or KeyBertConfig()

@@ -52,9 +52,11 @@ def test_mmr_diversity_zero_is_cosine_order(spark, docs):
 def test_mmr_tiers_are_exact(spark, docs):
     cands = KB.tfidf_candidates(docs, KB.KeyBertConfig())
     small = KB.mmr_select(cands, 20, 0.6, ["terms", "norm", "tn"], KB.term_pair_sim, tiers=(2, 8, None))
+    rel = KB.mmr_select(cands, 20, 0.6, ["terms", "norm", "tn"], KB.term_pair_sim, tiers=(2, "relational"))
     full = KB.mmr_select(cands, 20, 0.6, ["terms", "norm", "tn"], KB.term_pair_sim, tiers=(None,))
     key = lambda df: {(r["doc_id"], r["rank"], r["phrase"]) for r in rows(df.select("doc_id", "rank", "phrase"))}
     assert key(small) == key(full)
+    assert key(rel) == key(full)
 
 
 def test_maxsum_guard(spark, docs):
