@@ -201,7 +201,10 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
     open_keys = None
     for m in tiers:
         if m == "relational":
-            results.append(_mmr_relational(cands, open_keys, k, d, item_cols, pair_sim, key, name))
+            # Run the per-pick rounds only when some group is still open (the
+            # tier results are persisted, so the test is cheap).
+            if open_keys is None or not open_keys.isEmpty():
+                results.append(_mmr_relational(cands, open_keys, k, d, item_cols, pair_sim, key, name))
             break
         # Rank per tier: the literal bound lets Spark keep only the top
         # m + 1 per document in every task before sorting (window group
