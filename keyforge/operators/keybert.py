@@ -12,9 +12,11 @@ KEY5 MMR: first the best cosine to the document, then repeatedly
 alphabetically first phrase (the vocabulary order of the reference).
 
 Exact and bounded: MMR runs on each document's top ``M`` candidates by
-document similarity for ``M`` in (32, 256, 2048); groups still open after
-that run the relational MMR (one distributed argmax and one join per pick),
-so no group is ever collected whole.  Every candidate
+document similarity for ``M`` in (256, 2048), then on the document's whole
+list (bounded by its length) for the few documents still open.  For
+groups that are not bounded (``embedding_mmr``: all vectors of a label)
+the last tier is the relational MMR (one distributed argmax and one join
+per pick), so such a group is never collected whole.  Every candidate
 outside the cut scores at most ``(1 - d) * sim[M + 1] - d * floor`` (floor =
 lowest possible pair similarity), so when every pick beats that bound the
 result equals MMR over all candidates; otherwise only that document moves
@@ -35,7 +37,11 @@ from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE, empty_strs, postprocess
 
 SIM_DIGITS = 12
-TIERS = (32, 256, 2048, "relational")
+# Documents: the last tier is the document's whole candidate list, bounded
+# by the document's length.  Arbitrary groups (e.g. all vectors of a label)
+# are not bounded, so their last tier is the relational MMR.
+TIERS = (256, 2048, None)
+GROUP_TIERS = (32, 256, 2048, "relational")
 BROADCAST_MAX_TERMS = 5_000_000
 
 
@@ -350,7 +356,8 @@ def embedding_mmr(vectors: DataFrame, k: int = 5, d: float = 0.6, group: str = "
     sim = F.aggregate(F.zip_with("vec", "mvec", lambda x, y: x * y), F.lit(0.0), lambda z, t: z + t) / (
         F.col("norm") * F.col("mnorm"))
     c = j.select(group, "name", F.round(sim, SIM_DIGITS).alias("sim"), "vec", "norm")
-    return mmr_select(c, k, d, ["vec", "norm"], dense_pair_sim, key=group, name="name", sim_floor=-1.0)
+    return mmr_select(c, k, d, ["vec", "norm"], dense_pair_sim, key=group, name="name", sim_floor=-1.0,
+                      tiers=GROUP_TIERS)
 
 
 def word2vec_candidates(docs: DataFrame, cfg: KeyBertConfig | None = None, vector_size: int = 32,
