@@ -118,60 +118,47 @@ def term_scores(toks: DataFrame, cfg: YakeConfig, raw: bool = False):
 
 
 def candidates(toks: DataFrame, terms: DataFrame, edges: DataFrame, cfg: YakeConfig) -> DataFrame:
-    """YAK5: (doc_id, phrase, score) for every valid candidate."""
+    """YAK5: (doc_id, phrase, score) for every valid candidate.
+
+    Each token is annotated once with its term's H / stop / tf and with the
+    weight of the edge to the next token (two joins on the token table);
+    a block's annotated tokens are then cut into 1..n-grams by array index,
+    so the candidate table needs no further join."""
     n = cfg.max_ngram_size
-    stopset = list(cfg.stopwords)
-    # All 1..n-grams starting at a token come out of one explode (no union,
-    # so the doc_id partitioning is kept and the aggregate below needs no
-    # shuffle).
-    src = ["tok"] + [f"nxt{d}" for d in range(1, n)]
-    null = F.lit(None).cast("string")
-    grams = []
-    for size in range(1, n + 1):
-        fields = [(F.lower(F.col(src[i])) if i < size else null).alias(f"t{i}") for i in range(n)]
-        grams.append(F.struct(*fields, F.lit(size).alias("size")))
-    g = toks.select("doc_id", F.explode(F.filter(F.array(*grams), lambda x: x[f"t0"].isNotNull() & F.coalesce(
-        *[F.when(x["size"] == sz, x[f"t{sz - 1}"].isNotNull()) for sz in range(1, n + 1)]))).alias("g"))
-    g = g.select("doc_id", *[F.col(f"g.t{i}").alias(f"t{i}") for i in range(n)], F.col("g.size").alias("size"))
-    parts = [F.col(f"t{i}") for i in range(n)]
-    last = F.coalesce(*reversed(parts))
-    ok = ~_stop(F.col("t0"), stopset) & ~_stop(last, stopset)
-    for p in parts:
-        ok = ok & (p.isNull() | ~(is_digit(p) | is_mixed(p)))
-    g = g.where(ok)
-    cand = (g.groupBy("doc_id", *[f"t{i}" for i in range(n)], "size")
-            .agg(F.count(F.lit(1)).alias("ctf")))
-    # Attach H / stop / tf of each position, and the edge weights around inner words.
-    for i in range(n):
-        ti = terms.select("doc_id", F.col("term").alias(f"t{i}"), F.col("H").alias(f"h{i}"),
-                          F.col("stop").alias(f"s{i}"), F.col("tf").alias(f"tf{i}"))
-        cand = cand.join(ti, ["doc_id", f"t{i}"], "left")
-    for i in range(n - 1):
-        ei = edges.select("doc_id", F.col("a").alias(f"t{i}"), F.col("b").alias(f"t{i + 1}"),
-                          F.col("w").alias(f"w{i}"))
-        cand = cand.join(ei, ["doc_id", f"t{i}", f"t{i + 1}"], "left")
-    prod = F.lit(1.0)
-    total = F.lit(0.0)
-    for i in range(n):
-        present = F.col(f"t{i}").isNotNull()
-        inner = (i > 0) & (i < n - 1)
-        if inner:
-            nxt_present = F.col(f"t{i + 1}").isNotNull()
-            p1 = F.coalesce(F.col(f"w{i - 1}"), F.lit(0)) / F.col(f"tf{i - 1}")
-            p2 = F.when(nxt_present, F.coalesce(F.col(f"w{i}"), F.lit(0)) / F.col(f"tf{i + 1}")).otherwise(F.lit(0.0))
-            prob = p1 * p2
-        else:
-            prob = F.lit(0.0)
-        is_stop = present & F.col(f"s{i}")
-        prod = (F.when(~present, prod)
-                .when(is_stop, prod * (F.lit(1.0) + (F.lit(1.0) - prob)))
-                .otherwise(prod * F.col(f"h{i}")))
-        total = (F.when(~present, total)
-                 .when(is_stop, total - (F.lit(1.0) - prob))
-                 .otherwise(total + F.col(f"h{i}")))
-    score = prod / ((total + F.lit(1.0)) * F.col("ctf"))
-    phrase = F.concat_ws(" ", *parts)
-    return cand.select("doc_id", phrase.alias("phrase"), score.alias("score"))
+    if not 1 <= n <= 3:
+        raise ValueError("max_ngram_size must be 1, 2 or 3 (the reference's range)")
+    t = toks.select("doc_id", "sid", "bid", "tid", F.lower("tok").alias("term"), F.lower("nxt1").alias("nxt"),
+                    (is_digit(F.col("tok")) | is_mixed(F.col("tok"))).alias("disc"))
+    t = t.join(terms.select("doc_id", "term", "H", "stop", "tf"), ["doc_id", "term"], "left")
+    t = t.join(edges.select("doc_id", F.col("a").alias("term"), F.col("b").alias("nxt"), "w"),
+               ["doc_id", "term", "nxt"], "left")
+    blocks = (t.groupBy("doc_id", "sid", "bid")
+              .agg(F.array_sort(F.collect_list(F.struct("tid", "term", "H", "stop", "tf", "w", "disc"))).alias("a")))
+    a = F.col("a")
+    grams = blocks.select("doc_id", F.explode(F.filter(F.flatten(F.transform(
+        a, lambda x, i: F.array(*[F.when(i + sz <= F.size(a), F.slice(a, i + 1, sz)) for sz in range(1, n + 1)]))),
+        lambda g: g.isNotNull())).alias("g"))
+    g = F.col("g")
+    first, last = F.element_at(g, 1), F.element_at(g, -1)
+    ok = ~first["stop"] & ~last["stop"] & ~F.exists(g, lambda x: x["disc"])
+    grams = grams.where(ok).select("doc_id", F.array_join(g["term"], " ").alias("phrase"), "g")
+    cand = grams.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("ctf"), F.first("g").alias("g"))
+    g = F.col("g")
+    size = F.size(g)
+    e = lambda i: F.element_at(g, i)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    # Same operation order as the term-by-term definition.
+    p = (F.coalesce(e(1)["w"], F.lit(0)) / e(1)["tf"]) * (F.coalesce(e(2)["w"], F.lit(0)) / e(3)["tf"])
+    prod = (F.when(size == 1, one * e(1)["H"])
+            .when(size == 2, one * e(1)["H"] * e(2)["H"])
+            .when(e(2)["stop"], one * e(1)["H"] * (one + (one - p)) * e(3)["H"])
+            .otherwise(one * e(1)["H"] * e(2)["H"] * e(3)["H"]))
+    total = (F.when(size == 1, zero + e(1)["H"])
+             .when(size == 2, zero + e(1)["H"] + e(2)["H"])
+             .when(e(2)["stop"], zero + e(1)["H"] - (one - p) + e(3)["H"])
+             .otherwise(zero + e(1)["H"] + e(2)["H"] + e(3)["H"]))
+    score = prod / ((total + one) * F.col("ctf"))
+    return cand.select("doc_id", "phrase", score.alias("score"))
 
 
 def _similar(dedup: float):
