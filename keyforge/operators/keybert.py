@@ -42,7 +42,7 @@ SIM_DIGITS = 12
 # are not bounded, so their last tier is the relational MMR.
 TIERS = (256, 2048, None)
 GROUP_TIERS = (32, 256, 2048, "relational")
-BROADCAST_MAX_TERMS = 5_000_000
+BROADCAST_MAX_TERMS = 1_000_000  # about 40 MB of (term, idf) rows
 
 
 @dataclass
