@@ -45,21 +45,29 @@ Q = 0.05
 BINS_PER_DECADE, MAX_BIN = 8, 400
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, also where it is used for every element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _running(lengths: Column) -> Column:
     """Prefix sums of an array in log2(n) passes."""
     return F.aggregate(
         F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths) + F.lit(1))).cast("int")), lengths,
-        lambda acc, d: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2.0), d).cast("int")), F.lit(0))))
+        lambda acc, d: _let(F.pow(F.lit(2.0), d).cast("int"), lambda step: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - step), F.lit(0)))))
 
 
 def _spans(text: Column, pattern: str, least_value: int = 0) -> Column:
-    """array<struct<start, stop, token>> of the leftmost non-overlapping matches."""
+    """array<struct<start, stop, token, value>> of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least_value else found
-    between = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
-    starts = _running(steps)
-    spans = F.transform(found, lambda m, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(m)).alias("stop"), m.alias("token"), F.get(values, i).alias("value")))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if least_value else 0))
+
+    def placed(m: Column) -> Column:
+        steps = F.transform(m["found"], lambda x, i: F.length(F.get(m["between"], i)) + F.when(i > 0, F.length(F.get(m["found"], i - 1))).otherwise(0))
+        return _let(_let(steps, _running), lambda starts: F.transform(m["found"], lambda x, i: F.struct(
+            F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(x)).alias("stop"), x.alias("token"), F.get(m["values"], i).alias("value"))))
+
+    spans = _let(F.struct(found.alias("found"), values.alias("values"), F.split(text, pattern, -1).alias("between")), placed)
     none = F.array().cast("array<struct<start:int,stop:int,token:string,value:string>>")
     spans = F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(none)
     return F.filter(spans, lambda s: F.length(s["value"]) >= least_value) if least_value else spans
@@ -97,12 +105,17 @@ def _tested(span: Column) -> Column:
 def _places(c: Column) -> Column:
     alphabet = F.when(c["k"] == 16, F.lit(_HEX_ALPHABET)).when(c["k"] == 32, F.lit(_B32_ALPHABET)).otherwise(F.lit(_B64_ALPHABET))
     places = F.transform(F.split(c["symbols"], ""), lambda s: (F.instr(alphabet, s) - 1).cast("double"))
-    return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["k"].cast("double").alias("k"), places.alias("x"), F.array_sort(places).alias("y"))
+    return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["k"].cast("double").alias("k"), places.alias("x"))
+
+
+def _centred(c: Column) -> Column:
+    n = F.size(c["x"]).cast("double")
+    return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["k"].alias("k"), c["x"].alias("x"), F.array_sort(c["x"]).alias("y"), n.alias("n"),
+                    (F.aggregate(c["x"], F.lit(0.0), lambda s, v: s + v) / n).alias("mean"))
 
 
 def _sums(c: Column) -> Column:
-    x, y, k = c["x"], c["y"], c["k"]
-    n = F.size(x).cast("double")
+    x, y, k, n, mean = c["x"], c["y"], c["k"], c["n"], c["mean"]
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     # The sorted places give the sum of squared counts: each run of length c adds 1 + 3 + ... + (2c - 1).
     squares = F.aggregate(y, F.struct(F.lit(-1.0).alias("v"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s")), lambda a, v: F.struct(
@@ -110,7 +123,6 @@ def _sums(c: Column) -> Column:
         (a["s"] + F.when(v == a["v"], 2 * a["c"] + 1).otherwise(1.0)).alias("s")), lambda a: a["s"])
     high = total(F.transform(x, lambda v: (v >= k / 2).cast("double")))
     runs = total(F.transform(x, lambda v, i: F.when((i > 0) & ((v >= k / 2) != (F.get(x, i - 1) >= k / 2)), 1.0).otherwise(0.0))) + 1
-    mean = total(x) / n
     spread = total(F.transform(x, lambda v: v * v)) - n * mean * mean
     serial = total(F.transform(x, lambda v, i: F.when(i > 0, (v - mean) * (F.get(x, i - 1) - mean)).otherwise(0.0)))
     return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), k.alias("k"), n.alias("n"), squares.alias("squares"), high.alias("high"), runs.alias("runs"), spread.alias("spread"), serial.alias("serial"))
@@ -139,7 +151,7 @@ def band(n: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<start, stop, k, band, bin>> of all tested runs of a text."""
     found = F.filter(F.transform(_spans(text, CANDIDATE), _tested), lambda c: c["k"].isNotNull())
-    return F.transform(F.transform(F.transform(found, _places), _sums), _judged)
+    return F.transform(F.transform(F.transform(F.transform(found, _places), _centred), _sums), _judged)
 
 
 def false_discovery_cuts(docs: DataFrame, text_col: str = "text", q: float = Q) -> dict[tuple[int, int], int]:
@@ -161,14 +173,14 @@ def false_discovery_cuts(docs: DataFrame, text_col: str = "text", q: float = Q)
 
 def _found(text: Column, cuts: dict[tuple[int, int], int]) -> Column:
     """array<struct<start, kind, stop>>, kind as a place in KINDS, sorted."""
-    base = F.concat(*[
-        F.transform(spans, lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop")))
-        for k, spans in enumerate((_spans(text, ASSIGN, 6), _spans(text, ACCESS), _spans(text, HEX)))])
+    def named(spans: Column, kind: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
+
+    base = F.concat(*[named(spans, kind) for kind, spans in enumerate((_spans(text, ASSIGN, 6), _spans(text, ACCESS), _spans(text, HEX)))])
     if not cuts:
         return F.array_sort(base)
     passes = lambda c: F.coalesce(F.greatest(*[((c["k"] == k) & (c["band"] == b) & (c["bin"] >= cut)) for (k, b), cut in sorted(cuts.items())], F.lit(False)), F.lit(False))
-    random = F.transform(F.filter(candidates(text), passes), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["stop"].alias("stop")))
-    return F.array_sort(F.concat(base, random))
+    return F.array_sort(F.concat(base, named(F.filter(candidates(text), passes), 3)))
 
 
 def secret_spans(docs: DataFrame, text_col: str = "text", q: float = Q, out_col: str = "secret_spans", cuts: dict | None = None) -> DataFrame:

@@ -212,11 +212,11 @@ def _search(k: int, beam: int):
                 w = v.astype(np.float64)
                 nodes = search_graph(unit, layers, (w / np.sqrt((w * w).sum())).astype(np.float32), beam)
                 scores = cosines(vectors[nodes], v)
-                hits = [(-s, i) for s, j in sorted(zip((-scores).tolist(), nodes, strict=True))[:2 * k + 2] for i in ids[j].tolist() if i != q for s in (-s,)]
-                for s, i in sorted(hits)[:k]:
+                hits = [(far, i) for far, j in sorted(zip((-scores).tolist(), nodes, strict=True))[:2 * k + 2] for i in ids[j].tolist() if i != q]
+                for far, i in sorted(hits)[:k]:
                     out["query_id"].append(q)
                     out["vec_id"].append(i)
-                    out["score"].append(-s)
+                    out["score"].append(-far)
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     return run
 
