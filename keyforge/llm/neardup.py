@@ -5,18 +5,20 @@
 2. Each class has ``HASHES`` minima.  Bands of ``ROWS`` full minima give the
    candidate buckets; of the minima themselves only the low ``BITS`` bits are
    kept, packed into four integers.
-3. Candidates of a bucket are compared with one member of it.  Packed
-   signatures first: equal low bits are counted and corrected for chance
-   collisions, and a pair goes on if the estimate is within five standard
-   deviations of the threshold.  Then the whole sets, exactly.
+3. Each member of a bucket is compared with two members of it, the least and
+   one that changes from band to band.  Packed signatures first: equal low
+   bits are counted and corrected for chance collisions, and a pair goes on if
+   the estimate is within five standard deviations of the threshold.  Then the
+   whole sets, exactly.
 4. Links are contracted to components.  In buckets that still hold several
-   components the step is repeated with another member, and then once more
-   with every pair of different components, so no link of a bucket is lost,
-   while a group of n near copies costs about n comparisons and not n*n.
+   components every pair of different components is compared in the same way,
+   so no link of a bucket is lost, while a group of n near copies costs about
+   n comparisons and not n*n.
 
 A pair at similarity 0.8 shares none of the 32 bands with probability 5e-8.
-No bucket, partner or candidate is capped.  The set of the member that many
-others are compared with is dealt out in salted copies.
+No bucket, partner or candidate is capped.  Joins on a member that many
+others are compared with have written tables on both sides, which adaptive
+execution splits.
 
 Documents without words have an empty set, are linked with nothing and are
 kept.  Null ids never name a component unless all ids of it are null.  Repeated
@@ -43,8 +45,6 @@ HASHES, BITS, ROWS = 128, 2, 4
 BANDS = HASHES // ROWS
 #: Standard deviations of the estimate that a pair may lie under the threshold.
 MARGIN = 5
-#: Pairs with one member that share a copy of its set.
-SALT_ROWS = 64
 
 _U = np.uint64
 _MIX1, _MIX2, _MIX3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -195,9 +195,9 @@ class _Job:
         self.sig = self.classes.select("cls", "n", *sig)
 
     def buckets(self) -> DataFrame:
-        """(band, cls, hub) of every class in a bucket with another one."""
+        """(band, cls, hub, other) of every class in a bucket with another one: the least member, and one that differs from band to band."""
         rows = self.classes.select("cls", F.explode("bands").alias("band"))
-        hubs = written(rows.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("band", "hub"))
+        hubs = written(rows.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.max(F.struct(F.xxhash64("cls", "band"), "cls"))["cls"].alias("other")).where("hub <> last").select("band", "hub", "other"))
         return written(rows.join(hubs, "band"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -220,12 +220,9 @@ class _Job:
         # A null id can stand for several texts; the digest tells which is meant.
         texts = text.join(chosen, text["doc"].eqNullSafe(chosen["rep"])).select("cls", "text")
         sets = written(whole_sets(texts, self.size).groupBy("cls").agg(F.first("hashes").alias("hashes")))
-        # b is the member that many are compared with: its set goes out in one copy for every SALT_ROWS pairs.
-        copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("copies"))
-        copies = written(copies)
-        salted = pairs.join(copies, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")))
-        hubs = sets.withColumnRenamed("cls", "b").join(copies, "b").select("b", F.col("hashes").alias("hb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("salt"))
-        both = salted.join(hubs, ["b", "salt"]).join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+        # Both sides are written tables, so AQE splits the partition of a member that many are compared with.
+        half = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
+        both = half.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
         common = F.size(F.array_intersect("ha", "hb"))
         return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -240,9 +237,8 @@ def components(links: DataFrame) -> DataFrame:
     now, last = stamp(edges), None
     while now[0] and now != last:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         lower = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = written(lower.union(least.select("u", F.col("m").alias("v"))).distinct())
@@ -255,22 +251,17 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     of its component, null without words."""
     job = _Job(docs, size, percent, id_col, text_col)
     buckets = job.buckets()
-    links = written(job.links(job.near(buckets.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())))
-    for every_pair in (False, True):
-        found = written(components(links))
-        named = buckets.join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct(F.xxhash64("cls", "band"), "cls", "label")).alias("hub")).where("l0 <> l1")
-        open_ = written(open_.select("band", F.col("hub.cls").alias("hub2"), F.col("hub.label").alias("hub_label")))
-        left = named.join(open_, "band")
-        if not every_pair:
-            pairs = left.where("label <> hub_label").select(F.col("cls").alias("a"), F.col("hub2").alias("b")).distinct()
-            more = job.near(pairs)
-        else:
-            rows = written(left.join(job.sig, "cls").select("band", "label", F.struct("cls", "n", *[f"s{i}" for i in range(_WORDS)]).alias("x")))
-            other = rows.select("band", F.col("label").alias("label2"), F.col("x").alias("y"))
-            cross = rows.join(other, "band").where(F.col("label") < F.col("label2")).where(job.may_link("x", "y"))
-            more = cross.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-        links = written(links.union(job.links(more)))
+    stars = buckets.select(F.col("cls").alias("a"), F.explode(F.array("hub", "other")).alias("b")).where("a <> b").distinct()
+    links = written(job.links(job.near(stars)))
+    found = written(components(links))
+    named = buckets.select("band", "cls").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    open_ = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
+    rows = named.join(open_, "band").join(job.sig, "cls").select("band", "label", F.struct(*job.sig.columns).alias("x"))
+    rows = written(rows)
+    other = rows.select("band", F.col("label").alias("label2"), F.col("x").alias("y"))
+    cross = rows.join(other, "band").where(F.col("label") < F.col("label2")).where(job.may_link("x", "y"))
+    more = cross.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    links = links.union(job.links(more))
     found = written(components(links))
     signed = job.signed.select("id", "txt", "cls", "n_shingles")
     return signed.join(found, "cls", "left").select("id", "txt", "cls", "n_shingles", F.coalesce("label", "cls").alias("label"))
