@@ -55,17 +55,17 @@ def clean_text(c) -> Column:
 
 
 def first_by_fold(items: Column) -> Column:
-    """Keep the first spelling of every case-folded value, order kept.  The
-    folded keys seen so far travel in the fold state, so each element costs
-    one native ``array_contains`` (no inner lambda)."""
-    state = F.struct(empty_strs().alias("k"), empty_strs().alias("v"))
+    """Keep the first spelling of every case-folded value, order kept: sort by
+    (fold, place), keep the first of each fold, sort back by place."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(fold(x).alias("k"), i.alias("i"), x.alias("x"))))
 
-    def step(acc, x):
-        key = fold(x)
-        return F.when(F.array_contains(acc["k"], key), acc).otherwise(
-            F.struct(F.concat(acc["k"], F.array(key)).alias("k"), F.concat(acc["v"], F.array(x)).alias("v")))
+    def firsts(s):
+        kept = F.filter(s, lambda e, i: (i == 0) | ~e["k"].eqNullSafe(F.get(s, i - 1)["k"]))
+        back = F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+        return F.transform(back, lambda e: e["x"])
 
-    return F.aggregate(items, state, step)["v"]
+    # The one-element array computes the sorted list once for all its elements.
+    return F.get(F.transform(F.array(keyed), firsts), F.lit(0))
 
 
 def dedup_ci(arr) -> Column:

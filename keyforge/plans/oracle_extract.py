@@ -204,8 +204,7 @@ def _content(x: str) -> str:
     return f"(NOT list_contains({STOP_SQL}, {x}) AND length({x}) >= 3 AND NOT regexp_matches({x}, '^\\p{{N}}+$'))"
 
 
-def textrank_cte(top_k: int = 20, window: int = 2, damping: float = 0.85, iterations: int = 10,
-                 max_words: int = 4) -> str:
+def textrank_cte(top_k: int = 20, window: int = 2, damping: float = 0.85, iterations: int = 10) -> str:
     """Needs ``tk_b2`` from tokens_cte; defines tr_top(doc_id, rank, phrase)."""
     pairs = ", ".join(f"list_transform(range(1, len(t) + 1), lambda pi{dd}: {{'a': t[pi{dd}], 'b': t[pi{dd} + {dd}]}})"
                       for dd in range(1, window + 1))
@@ -232,7 +231,7 @@ tr_r{it} AS (SELECT e.doc_id, e.dst AS term, any_value(r.n) AS n,
 tr_runs AS (SELECT DISTINCT doc_id, phrase FROM (
     SELECT doc_id, unnest(regexp_split_to_array(array_to_string(list_transform(toks, lambda rx:
              CASE WHEN {_content('lower(rx)')} THEN lower(rx) ELSE {mark} END), ' '), ' ?\\x{{0001}} ?')) AS phrase
-    FROM tr_t) WHERE phrase <> '' AND len(string_split(phrase, ' ')) <= {max_words}),
+    FROM tr_t) WHERE phrase <> ''),
 tr_words AS (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS term FROM tr_runs),
 tr_sc AS (SELECT w.doc_id, w.phrase, sqrt(sum(coalesce(r.r, 0.0) * coalesce(r.r, 0.0)) / count(*)) AS score
           FROM tr_words w LEFT JOIN tr_r{iterations} r ON r.doc_id = w.doc_id AND r.term = w.term GROUP BY w.doc_id, w.phrase),
