@@ -48,7 +48,7 @@ STAGES = [
     ("source_mixing", mix_sources),
     ("byte_bpe", encode_tokens),
 ]
-#: Expectation maximisation and byte-pair merges have no SQL form; the tests hold the result against plain Python.
+#: Expectation maximisation and byte-pair merges have no SQL form; the tests hold each stage's operator against plain Python.
 ORACLE_SQL = None
 
 
