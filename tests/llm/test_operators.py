@@ -332,3 +332,22 @@ def test_estimate_is_corrected_for_collisions(spark):
     from pyspark.sql import functions as F
     for r in df.groupBy("share").agg(F.avg(neardup.estimate("x", "y")).alias("e")).collect():
         assert r["e"] == pytest.approx(r["share"], abs=0.03)
+
+
+def test_parity_bound_never_exceeds_the_difference(spark):
+    """Bits that differ are at most the shingles of one set only, exactly as many
+    when none share a bit; so no pair at the threshold is dropped."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    rows, truth = [], {}
+    for k, (common, left, right) in enumerate([(0, 1, 0), (147, 0, 0), (130, 9, 8), (80, 40, 40), (5000, 500, 700), (10, 0, 3)]):
+        a, b, c = (rng.integers(0, 2**63, size=n, dtype=np.uint64) for n in (common, left, right))
+        x, y = neardup._parity(np.concatenate([a, b])), neardup._parity(np.concatenate([a, c]))
+        rows.append((k, x, y))
+        truth[k] = left + right
+    names = [f"p{i}" for i in range(neardup.PARITY // 64)]
+    df = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>")
+    df = df.select("k", *[F.struct(*[F.get(v, i).alias(c) for i, c in enumerate(names)]).alias(w) for v, w in (("a", "x"), ("b", "y"))])
+    got = {r["k"]: r["n"] for r in df.select("k", neardup.odd_bits("x", "y").alias("n")).collect()}
+    assert all(got[k] <= n and (got[k] - n) % 2 == 0 for k, n in truth.items())
+    assert got[1] == 0 and got[0] == 1
