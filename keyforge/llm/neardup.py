@@ -17,7 +17,8 @@
 4. Links are contracted to components.  In buckets that still hold several
    components every pair of different components is compared in the same way,
    so no link of a bucket is lost, while a group of n near copies costs about
-   n comparisons and not n*n.
+   n comparisons and not n*n.  The links found there join components, so the
+   second contraction runs over components only.
 
 A pair at similarity 0.8 shares none of the 32 bands with probability 5e-8.
 No bucket, partner or candidate is capped.  Joins on a member that many
@@ -232,7 +233,7 @@ class _Job:
         return (100 * small >= self.percent * large) & (estimate(x, y) >= floor_of(self.percent / 100)) & apart
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar enough."""
+        """The pairs whose whole sets are similar enough, without the sizes na and nb."""
         pairs = written(pairs)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         chosen = self.classes.join(needed, "cls").select("cls", F.col("id").alias("rep"))
@@ -244,26 +245,32 @@ class _Job:
         half = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
         both = half.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
         common = F.size(F.array_intersect("ha", "hb"))
-        return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+        return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select(*[c for c in pairs.columns if c not in ("na", "nb")])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(cls, label): the least class that links (a, b) reach, for every linked
-    class.  Rounds of large and small stars; each is written."""
-    def stamp(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    class.  Rounds of large and small stars, each written, until every class
+    has one parent and no parent has a parent of its own."""
+    def both_ends(e: DataFrame, one: Column, two: Column) -> DataFrame:
+        return e.select(F.inline(F.array(one, two)))
+
+    def stars(e: DataFrame) -> bool:
+        nodes = both_ends(e, F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                          F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        nodes = nodes.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return nodes.where("up > 1 or (up = 1 and down = 1)").agg(F.count(F.lit(1))).first()[0] == 0
 
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    now, last = stamp(edges), None
-    while now[0] and now != last:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        lower = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(lower.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now, last = stamp(edges), now
-    return edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
+    while not stars(edges):
+        around = both_ends(edges, F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Large star: a greater neighbour of x goes to the least one of x.
+        large = edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+        # Small star: x and its lesser neighbours go to the least of them.
+        lower = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = written(both_ends(lower, F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+    return both_ends(edges, F.struct(F.col("u").alias("cls"), F.col("v").alias("label")), F.struct(F.col("v").alias("cls"), F.col("v").alias("label"))).distinct()
 
 
 def labelled(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,19 +279,19 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     job = _Job(docs, size, percent, id_col, text_col)
     buckets = job.buckets()
     stars = buckets.select(F.col("cls").alias("a"), F.explode(F.array("hub", "other")).alias("b")).where("a <> b").distinct()
-    links = written(job.links(job.near(stars)))
-    found = written(components(links))
+    found = written(components(job.links(job.near(stars))))
     named = buckets.select("band", "cls").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     open_ = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
     rows = named.join(open_, "band").join(job.sig, "cls").select("band", "label", F.struct(*job.sig.columns).alias("x"))
     rows = written(rows)
     other = rows.select("band", F.col("label").alias("label2"), F.col("x").alias("y"))
     cross = rows.join(other, "band").where(F.col("label") < F.col("label2")).where(job.may_link("x", "y"))
-    more = cross.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    links = links.union(job.links(more))
-    found = written(components(links))
-    signed = job.signed.select("id", "txt", "cls", "n_shingles")
-    return signed.join(found, "cls", "left").select("id", "txt", "cls", "n_shingles", F.coalesce("label", "cls").alias("label"))
+    more = cross.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "label", "label2").distinct()
+    # The components found so far are the nodes of the second run.
+    merged = written(components(job.links(more).select(F.col("label").alias("a"), F.col("label2").alias("b"))))
+    merged = merged.select(F.col("cls").alias("label"), F.col("label").alias("root"))
+    signed = job.signed.select("id", "txt", "cls", "n_shingles").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return signed.join(merged, "label", "left").select("id", "txt", "cls", "n_shingles", F.coalesce("root", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,16 +302,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _row_key(doc_id: Column, text_hash: Column) -> Column:
+    return F.md5(F.concat_ws(":", doc_id.cast("string"), text_hash.cast("string")))
+
+
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row
     with the least id stays (ids before nulls), unchanged; of repeated rows
     one stays.  Rows without words all stay."""
-    rows = written(labelled(docs, size, percent, id_col, text_col))
+    rows = labelled(docs, size, percent, id_col, text_col)
     first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "txt")).alias("k"))
-    kept = written(first.select(F.col("k.id").alias("__id"), F.col("k.txt").alias("__txt")))
-    record = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__own"), F.xxhash64(text_col).alias("__hash"), F.regexp_like(no_null(text_col), F.lit(WORD_PATTERN)).alias("__words"))
-    same = record["__own"].eqNullSafe(kept["__id"]) & (record["__hash"] == kept["__txt"])
-    chosen = record.where("__words").join(kept, same, "left_semi")
-    one = Window.partitionBy("__own", "__hash").orderBy("__row")
+    # Digests of (id, text) are the key of the join and of the window, so texts are shuffled once.
+    kept = written(first.select(_row_key(F.col("k.id"), F.col("k.txt")).alias("__key")))
+    record = docs.select(F.struct("*").alias("__row"), _row_key(F.col(id_col), F.xxhash64(text_col)).alias("__key"), F.regexp_like(no_null(text_col), F.lit(WORD_PATTERN)).alias("__words"))
+    chosen = record.where("__words").join(kept, "__key", "left_semi")
+    one = Window.partitionBy("__key").orderBy("__row")
     chosen = chosen.withColumn("__n", F.row_number().over(one)).where(F.col("__n") == 1)
     return chosen.select("__row.*").unionByName(record.where(~F.col("__words")).select("__row.*"))
