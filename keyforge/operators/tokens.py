@@ -1,9 +1,10 @@
 """TOK1: sentence / block / token tables shared by all extractors.
 
-Layout of a document: sentences are split at runs of ``.``, ``!``, ``?`` or
-LF (pieces without a word character are dropped); a sentence is cut into
-*blocks* at runs of punctuation (anything that is not a letter, digit or
-whitespace); tokens are ``[\\p{L}\\p{N}]+`` runs inside a block.  Candidate
+Layout of a document: sentences are split at runs of ``.``, ``!``, ``?`` that
+white space follows, and at LF (pieces without a word character are dropped);
+a sentence is cut into *blocks* at runs of punctuation (anything that is not a
+letter, digit or whitespace), and blocks without a word character are not
+counted; tokens are ``[\\p{L}\\p{N}]+`` runs inside a block.  Candidate
 phrases never cross a block; neighbour relations are taken inside a block.
 
 The neighbours of a token are read from the block's token array by index in
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from keyforge.functions.text import TOKEN_RE
 
-SENT_SPLIT = r"[.!?\n]+"
+SENT_SPLIT = r"[.!?]+[\x20\x09-\x0D]+|\x0A+"
 PUNCT_RUN = r"[^\p{L}\p{N}\s]+"
 HAS_WORD = r"[\p{L}\p{N}]"
 
@@ -36,7 +37,8 @@ def sentence_table(docs: DataFrame) -> DataFrame:
 def block_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sent, sid, bid, toks): the token array of every block."""
     s = sentence_table(docs)
-    b = s.select("doc_id", "n_sent", "sid", F.posexplode(F.split("sent", PUNCT_RUN, -1)).alias("bid", "block"))
+    blocks = F.filter(F.split("sent", PUNCT_RUN, -1), lambda x: x.rlike(HAS_WORD))
+    b = s.select("doc_id", "n_sent", "sid", F.posexplode(blocks).alias("bid", "block"))
     return b.select("doc_id", "n_sent", "sid", "bid",
                     F.regexp_extract_all("block", F.lit(TOKEN_RE), 0).alias("toks"))
 

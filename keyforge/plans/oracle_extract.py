@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE
-from keyforge.operators.tokens import PUNCT_RUN, SENT_SPLIT
 from keyforge.plans import duck as D
 
 STOP_SQL = "[" + ", ".join(D.q(w) for w in ENGLISH) + "]"
@@ -37,14 +36,14 @@ def tokens_cte(src: str = "documents", reach: int = 2) -> str:
         for d in range(1, reach + 1))
     return f"""
 tk_s AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {D.q(SENT_SPLIT.replace(chr(10), '\\n'))}),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+[ \\t\\n\\v\\f\\r]+|\\n+'),
                              lambda sx: regexp_matches(sx, '[\\p{{L}}\\p{{N}}]')) AS sents
   FROM {src}),
 tk_s1 AS (SELECT doc_id, len(sents) AS n_sent, unnest(sents) AS sent, unnest(range(len(sents))) AS sid FROM tk_s),
 tk_b AS (
-  SELECT doc_id, n_sent, sid, unnest(regexp_split_to_array(sent, {D.q(PUNCT_RUN)})) AS block,
-         unnest(range(len(regexp_split_to_array(sent, {D.q(PUNCT_RUN)})))) AS bid
-  FROM tk_s1),
+  SELECT doc_id, n_sent, sid, unnest(blocks) AS block, unnest(range(len(blocks))) AS bid
+  FROM (SELECT doc_id, n_sent, sid, list_filter(regexp_split_to_array(sent, '[^\\p{{L}}\\p{{N}}\\s]+'),
+                                                lambda bx: regexp_matches(bx, '[\\p{{L}}\\p{{N}}]')) AS blocks FROM tk_s1)),
 tk_b2 AS (SELECT doc_id, n_sent, sid, bid, regexp_extract_all(block, {D.q(TOKEN_RE)}) AS toks FROM tk_b),
 toks AS (
   SELECT doc_id, n_sent, sid, bid, unnest(range(len(toks))) AS tid, unnest(toks) AS tok,

@@ -59,6 +59,18 @@ def test_mmr_tiers_are_exact(spark, docs):
     assert key(rel) == key(full)
 
 
+def test_sentences_and_first_words(spark):
+    from keyforge.operators import tokens as TK
+    from keyforge.operators import yake as Y
+    d = spark.createDataFrame([(1, "Hello world. Value 3.14 at example.com"), (2, '"Hello world. (Hello there.'), (3, ""), (4, None)], "doc_id bigint, text string")
+    n = {r["doc_id"]: r["n_sent"] for r in TK.sentence_table(d).select("doc_id", "n_sent").distinct().collect()}
+    assert n == {1: 2, 2: 2}
+    s = Y.term_statistics(TK.token_table(d), Y.YakeConfig()).where("doc_id = 2 and term = 'hello'").first()
+    assert (s["tf"], s["tf_n"]) == (2, 0)
+    kept = {r["doc_id"]: r["keywords"] for r in Y.extract(d).collect()}
+    assert kept[3] == [] and kept[4] == []
+
+
 def test_maxsum_guard(spark, docs):
     with pytest.raises(ValueError):
         KB.maxsum_select(KB.tfidf_candidates(docs, KB.KeyBertConfig()), 6, 20)
