@@ -6,12 +6,12 @@ Classes are dealt by hash to shards of about ``shard_rows`` nodes.  One task
 builds the hierarchical graph of a shard: nodes are ordered by level, so layer
 l holds the first nodes and its links are one flat array of neighbour numbers;
 a new node links to a diverse selection of the nearest among those already in
-the layer (shards are small enough to rank them all), and full lists keep
-their nearest.  The graphs are written.
+the layer (shards are small enough to rank them all), and full lists are cut
+back by the same rule, so links between groups stay.  The graphs are written.
 
 Queries go to every shard in blocks of ``block_rows``.  A search descends
-greedily through the layers and then widens to a beam of ``beam`` nodes on
-the lowest.  What the beam found is scored exactly in double precision on the
+through the layers with ``UPPER`` nodes, all of which enter the next layer, and
+widens to a beam of ``beam`` nodes on the lowest.  What the beam found is scored exactly in double precision on the
 original vectors, and the best of all shards are merged.
 
 Vectors that are null, zero or hold null or non-finite components take no
@@ -21,6 +21,7 @@ part.  Vectors are compared with those of the same length only.  Repeated rows
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -36,7 +37,7 @@ from keyforge.llm.common import ship, written
 ship(__name__)
 
 LINKS = 16
-BUILD, BEAM = 64, 128
+BUILD, BEAM, UPPER, SLACK = 64, 128, 32, 16
 
 
 # ---- one shard ----
@@ -59,11 +60,22 @@ def _diverse(order: np.ndarray, to_new: np.ndarray, between: np.ndarray, most: i
 
 
 def _layer(x: np.ndarray, most: int) -> np.ndarray:
-    """Flat neighbour array of one layer over its nodes in order; -1 fills up."""
+    """Flat neighbour array of one layer over its nodes in order; -1 fills up.
+    Lists may grow by ``SLACK`` links; full ones are cut back to a diverse
+    selection of ``most``, which keeps the links between groups."""
     n = len(x)
-    links = np.full((n, most), -1, dtype=np.int32)
-    near = np.full((n, most), -np.inf, dtype=np.float32)
+    links = np.full((n, most + SLACK), -1, dtype=np.int32)
+    near = np.full((n, most + SLACK), -np.inf, dtype=np.float32)
     degree = np.zeros(n, dtype=np.int64)
+
+    def prune(j: int) -> None:
+        held, sims = links[j, :degree[j]], near[j, :degree[j]]
+        by = np.argsort(-sims, kind="stable")
+        c = x[held[by]]
+        keep = _diverse(by, sims[by], c @ c.T, most)
+        links[j], near[j] = np.append(held[keep], [-1] * (most + SLACK - len(keep))), np.append(sims[keep], [-np.inf] * (most + SLACK - len(keep)))
+        degree[j] = len(keep)
+
     for i in range(1, n):
         sims = x[:i] @ x[i]
         if i > BUILD:
@@ -73,17 +85,14 @@ def _layer(x: np.ndarray, most: int) -> np.ndarray:
             order = np.argsort(-sims, kind="stable")
         c = x[order]
         for j in _diverse(order, sims[order], c @ c.T, LINKS):
-            links[i, degree[i]], near[i, degree[i]] = j, sims[j]
-            degree[i] += 1
-            if degree[j] < most:
-                at = degree[j]
-                degree[j] += 1
-            else:  # a full list keeps its nearest
-                at = int(near[j].argmin())
-                if near[j, at] >= sims[j]:
-                    continue
-            links[j, at], near[j, at] = i, sims[j]
-    return links
+            for a, b in ((i, j), (j, i)):
+                if degree[a] == most + SLACK:
+                    prune(a)
+                links[a, degree[a]], near[a, degree[a]] = b, sims[j]
+                degree[a] += 1
+    for j in np.flatnonzero(degree > most):
+        prune(int(j))
+    return np.ascontiguousarray(links[:, :most])
 
 
 def _level(key: bytes) -> int:
@@ -102,28 +111,14 @@ def build_graph(vectors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return order, [_layer(unit[:(levels >= k).sum()], 2 * LINKS if k == 0 else LINKS) for k in range(int(levels[0]) + 1)]
 
 
-def search_graph(unit: np.ndarray, layers: list[np.ndarray], query: np.ndarray, beam: int) -> list[int]:
-    """Numbers of the nodes that the beam ends with."""
-    import heapq
-
-    best = 0
-    best_sim = float(unit[0] @ query)
-    for links in layers[:0:-1]:
-        while True:
-            around = links[best]
-            around = around[around >= 0]
-            if not len(around):
-                break
-            sims = unit[around] @ query
-            k = int(sims.argmax())
-            if sims[k] <= best_sim:
-                break
-            best, best_sim = int(around[k]), float(sims[k])
-    seen = np.zeros(len(unit), dtype=bool)
-    seen[best] = True
-    open_ = [(-best_sim, best)]
-    found = [(best_sim, best)]
-    links = layers[0]
+def _widened(unit: np.ndarray, links: np.ndarray, found: list[tuple[float, int]], query: np.ndarray, beam: int) -> list[tuple[float, int]]:
+    """The beam (similarity, node) on one layer, begun from ``found``."""
+    seen = np.zeros(len(links), dtype=bool)
+    seen[[j for _, j in found]] = True
+    open_ = [(-s, j) for s, j in found]
+    found = list(found)
+    heapq.heapify(open_)
+    heapq.heapify(found)
     while open_:
         far, node = heapq.heappop(open_)
         if len(found) >= beam and -far < found[0][0]:
@@ -146,7 +141,15 @@ def search_graph(unit: np.ndarray, layers: list[np.ndarray], query: np.ndarray,
             else:
                 continue
             heapq.heappush(open_, (-s, j))
-    return [j for _, j in found]
+    return found
+
+
+def search_graph(unit: np.ndarray, layers: list[np.ndarray], query: np.ndarray, beam: int) -> list[int]:
+    """Numbers of the nodes that the beam ends with."""
+    found = [(float(unit[0] @ query), 0)]
+    for links in layers[:0:-1]:
+        found = _widened(unit, links, found, query, min(UPPER, beam))
+    return [j for _, j in _widened(unit, layers[0], found, query, beam)]
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -212,7 +215,7 @@ def _search(k: int, beam: int):
                 w = v.astype(np.float64)
                 nodes = search_graph(unit, layers, (w / np.sqrt((w * w).sum())).astype(np.float32), beam)
                 scores = cosines(vectors[nodes], v)
-                hits = [(far, i) for far, j in sorted(zip((-scores).tolist(), nodes, strict=True))[:2 * k + 2] for i in ids[j].tolist() if i != q]
+                hits = [(far, i) for far, j in zip((-scores).tolist(), nodes, strict=True) for i in ids[j].tolist() if i != q]
                 for far, i in sorted(hits)[:k]:
                     out["query_id"].append(q)
                     out["vec_id"].append(i)
