@@ -5,7 +5,82 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from keyforge.llm import vector_search
+from keyforge.llm import licences, vector_search
+
+
+# ---- 1 ----
+
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, ARE DISCLAIMED.
+"""
+APACHE = """# Copyright 2020 The Authors
+# Licensed under the Apache License, Version 2.0 (the "License"); you may not
+# use this file except in compliance with the License. You may obtain a copy
+# of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+GPL = """/*
+ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */
+"""
+
+
+def test_wrapped_licences(spark):
+    rows = {
+        "MIT": MIT, "MIT ": MIT.replace("\n", "\r\n"), "BSD-3-Clause": BSD, "BSD-2-Clause": BSD[:BSD.index("3. ")], "Apache-2.0": APACHE,
+        "GPL-3.0-or-later": GPL.format(":", ",", 3), "GPL-2.0-or-later": GPL.format(";", ";", 2), "MIT  ": "The MIT License\n" + MIT[MIT.index("Perm"):],
+        "MIT OR Apache-2.0": "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main()", "GPL-2.0-only WITH Linux-syscall-note": "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */",
+        "proprietary": "Kept. all rights\n * reserved"}
+    docs = spark.createDataFrame(list(enumerate(rows.values())), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licences.document_licences(docs).collect()}
+    for i, name in enumerate(rows):
+        assert (got[i]["licences"], got[i]["n_matches"]) == (name.strip(), 1) and got[i]["n_unknown"] <= 1, got[i]
+    assert "Apache2Ref;Apache2NotUse;Apache2Copy;Address;Apache2AsIs;Apache2See" in got[4]["sentence_ids"]
 
 
 # ---- 8 ----
