@@ -53,6 +53,13 @@ _CLASS_WORDS = set(
     "respond disqus related recommended recommendations share sharing social toolbar".split())
 _HEADER_WORDS = {"header", "heading-bar", "site-header", "page-header"}
 _COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
+#: Words that may stand beside a furniture word in a compound name such as "site-nav"; "has", "page" or "open" are none of them.
+_BESIDE = set(
+    "site main top bottom left right primary secondary global header box block list item items area bar body section wrapper "
+    "container inner posts articles links link buttons button form title slot unit div desktop mobile".split())
+_IN_HEAD = set("base basefont bgsound head html link meta title script style noscript noframes template".split())
+#: How firmly an element is furniture: a form, by its class or id words, by its element, role or being hidden.
+_FORM, _NAMED, _FIRM = 1, 2, 3
 _CELLS = {"td", "th"}
 #: A start tag ends open elements of the first set, looking up to the second.
 _ENDS = {
@@ -74,32 +81,47 @@ _WORDS = re.compile(r"[a-z0-9]+")
 _ENDS_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
 
 
-def _kind(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is page furniture, and whether it names the article."""
+def _named(tokens: list[str], known: set[str]) -> bool:
+    """Whether a class or id is a known word, or a compound of known words and those that may stand beside them."""
+    for token in tokens:
+        parts = _WORDS.findall(token)
+        if any(x in known for x in parts) and all(x in known or x in _BESIDE or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+def _kind(name: str, attrs: str, in_article: bool) -> tuple[int, str]:
+    """How firmly an element is page furniture (0: not), and whether it names the "article" or the "main" part."""
     names = {}
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
             names.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    article = name in ("article", "main") or names.get("role") in ("article", "main") or "articlebody" in names.get("itemprop", "")
+    role = names.get("role")
+    article = "main" if name == "main" or role == "main" else "article" if name == "article" or role == "article" or "articlebody" in names.get("itemprop", "") else ""
     if name in ("html", "body"):
-        return False, False
-    words = set(_WORDS.findall(names.get("class", "") + " " + names.get("id", "")))
+        return 0, ""
+    tokens = (names.get("class", "") + " " + names.get("id", "")).split()
     hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
     if article:
-        return hidden or bool(words & _COMMENT_WORDS), True
-    furniture = name in _FURNITURE or names.get("role") in _ROLES or bool(words & _CLASS_WORDS) or hidden
-    if not in_article:
-        furniture = furniture or name == "header" or "header" in words
-    return furniture, False
+        return _FIRM if hidden or _named(tokens, _COMMENT_WORDS) else 0, article
+    if hidden or role in _ROLES or name in _FURNITURE and name != "form" or not in_article and name == "header":
+        return _FIRM, ""
+    if _named(tokens, _CLASS_WORDS) or not in_article and not _HEADER_WORDS.isdisjoint(tokens):
+        return _NAMED, ""
+    return _FORM if name == "form" else 0, ""
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside the article, characters in links) of every line; furniture gives empty lines."""
+def lines_of(page: str, trust_articles: bool = False) -> tuple[list[tuple[str, bool, int]], bool]:
+    """(text, inside the article, characters in links) of every line, and whether
+    an article was left out for the class or id of an element around it.
+    Furniture gives empty lines.  A main part and a form's article count
+    whatever the names around them; with ``trust_articles`` all articles do."""
     lines: list[tuple[str, bool, int]] = []
     pieces: list[str] = []
     inside = False
     linked = 0
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, furniture, article, link, header of the article
+    left_out = False
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, furniture, article, link, header of the article
     open_names: Counter = Counter()
 
     def flush(gap: bool = False) -> None:
@@ -121,6 +143,8 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         nonlocal inside, linked
         if a >= b:
             return
+        if open_names["head"] and stack[-1][0] == "head" and not page[a:b].isspace():
+            pop_to(len(stack) - 1)  # text ends an open head
         if stack:
             name, furniture, article, link, head = stack[-1]
             if furniture or head:
@@ -158,6 +182,8 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
                     k -= 1
                 pop_to(k)
             continue
+        if open_names["head"] and name not in _IN_HEAD:  # as does any element that cannot stand in it
+            pop_to(next(k for k, x in enumerate(stack) if x[0] == "head"))
         if name in _RAW:
             if not m[0].endswith("/>") or name in ("script", "style", "textarea", "title"):
                 close = _ENDS_RAW[name].search(page, at)
@@ -189,21 +215,34 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             continue
         if name in _CELLS:
             pieces.append(" ")
-        _, furniture, article, link, head = stack[-1] if stack else ("", False, False, False, False)
+        _, furniture, article, link, head = stack[-1] if stack else ("", 0, False, False, False)
         own, names_article = _kind(name, m[3], article)
+        if names_article and not own and not article:
+            if furniture <= _FORM or furniture == _NAMED and (trust_articles or names_article == "main"):
+                furniture = 0
+            left_out = left_out or furniture == _NAMED
         # Inside an article's header only the headings are text of the article.
         head = (head or (article and name == "header")) and name not in _HEADINGS
-        stack.append((name, furniture or own, article or (names_article and not own and not furniture), link or name == "a", head))
+        stack.append((name, max(furniture, own), article or bool(names_article and not own and not furniture), link or name == "a", head))
         open_names[name] += 1
     flush()
-    return lines
+    return lines, left_out
 
 
 def main_text(page: str | None) -> str:
-    """The main text of one page, its blocks joined by newlines."""
+    """The main text of one page, its blocks joined by newlines.  If the page
+    has articles only where names around them say furniture, the longer of
+    the texts with and without them."""
     if not page:
         return ""
-    lines = lines_of(page)
+    lines, left_out = lines_of(page)
+    text = _densest(lines)
+    if left_out and not any(inside for _, inside, _ in lines):
+        text = max(text, _densest(lines_of(page, trust_articles=True)[0]), key=len)
+    return text
+
+
+def _densest(lines: list[tuple[str, bool, int]]) -> str:
     if any(inside for _, inside, _ in lines):
         weight = [len(text) if inside else 0 for text, inside, _ in lines]
         height = 1

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from keyforge.llm import licences, vector_search
+from keyforge.llm import html_text, licences, vector_search
 
 
 # ---- 1 ----
@@ -83,6 +83,27 @@ def test_wrapped_licences(spark):
     assert "Apache2Ref;Apache2NotUse;Apache2Copy;Address;Apache2AsIs;Apache2See" in got[4]["sentence_ids"]
 
 
+# ---- 2 ----
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>t</title><meta charset=x><body><article><p>a</p></article></body></html>", "a"),
+    ("<head><title>t</title><article><p>a</p></article>", "a"),
+    ("<head><title>t</title>words<p>more", "words\nmore"),
+    ("<body><div class='site has-sidebar'><article><p>a</p></article></div></body>", "a"),
+    ("<div id='toolbar-page'><article><p>a</p></article></div>", "a"),
+    ("<div class=sidebar><main><p>a</p></main></div>", "a"),
+    ("<div class=widget><article><p>the article</p></article></div><p>end</p>", "the article"),
+    ("<article class='post comments-open'><p>a</p><div class='comment-list'><p>no</p></div></article>", "a"),
+    ("<form action=x><nav>n</nav><article><p>a</p><form><p>no</form></article></form>", "a"),
+    # What is furniture stays so.
+    ("<article><p>a</p><div class='cookie-banner'>no</div></article><div class=related><article><p>card</p></article></div>", "a"),
+    ("<div><p>" + "text " * 40 + "</p></div><div class=sidebar><article><p>card</p></article></div>", ("text " * 40).strip()),
+    ("<aside><article><p>card</p></article></aside><main><p>a</p><article class=comment><p>no</p></article></main>", "a"),
+])
+def test_wrapped_articles(page, text):
+    assert html_text.main_text(page) == text
+
+
 # ---- 8 ----
 
 @pytest.mark.parametrize(("groups", "noise"), [(40, 0.02), (40, 0.001), (8, 0.001)])
