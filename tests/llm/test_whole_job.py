@@ -1,11 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 import collections
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from keyforge.llm import html_text, licences, vector_search
+from keyforge.llm import html_text, licences, quality_rules, vector_search
 
 
 # ---- 1 ----
@@ -104,6 +105,30 @@ def test_wrapped_articles(page, text):
     assert html_text.main_text(page) == text
 
 
+# ---- 7 ----
+
+def test_single_defects_on_a_mostly_clean_table(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    lines = lambda: [" ".join(prose(8)) for _ in range(10)]
+    made = {
+        "clean": lambda: "\n".join(lines()),
+        "adjacent": lambda: " ".join(x for w in prose(80) for x in ([w, w] if rng.random() < 0.4 else [w])),
+        "lines": lambda: "\n".join(lines() + ["ab cd"] * 6),
+        "repeats": lambda: " ".join(prose(54) + 3 * prose_once(15)),
+        "word_length": lambda: " ".join("".join(prose(4)) for _ in range(80)),
+        "symbols": lambda: " ".join(w + "#" for w in prose(80)),
+    }
+    prose_once = lambda n: rng.sample(words, n)
+    rows = [(kind, text()) for kind, text in made.items() for _ in range(900 if kind == "clean" else 30)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, kind string, text string")
+    got = quality_rules.document_quality(df).join(df, "doc_id").collect()
+    kept, n = collections.Counter(r["kind"] for r in got if r["kept"]), collections.Counter(r["kind"] for r in got)
+    assert kept["clean"] == n["clean"] and not any(r["base_failed"] for r in got)
+    assert all(kept[kind] <= 0.1 * n[kind] for kind in made if kind != "clean"), kept
+
+
 # ---- 8 ----
 
 @pytest.mark.parametrize(("groups", "noise"), [(40, 0.02), (40, 0.001), (8, 0.001)])
