@@ -17,11 +17,15 @@ the caller gets the record as a struct.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyforge.llm.common import no_null, written
+from keyforge.session import ensure_checkpoint_dir
 
 GROUPS = 1024
 LAW = "rows"
@@ -43,13 +47,31 @@ def shuffled_buckets(scattered: DataFrame, buckets: int, seed: int) -> DataFrame
     return written(placed.select("bucket", F.shuffle(F.col("recs"), F.lit(seed)).alias("recs")))
 
 
-def assign(records: DataFrame, shards: int = 16, seed: int = 42, bucket_rows: int = 20_000, least_buckets: int = 256) -> DataFrame:
+def n_bytes(records: DataFrame) -> Column:
+    """About the bytes of a row: the lengths of strings and binaries, JSON for nested values, 8 for others."""
+    out = F.lit(8).cast("bigint")
+    for f in records.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.StructType)):
+            c = F.to_json(F.struct(c))
+        elif not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            c = F.lit("8 bytes.")
+        out = out + F.coalesce(F.octet_length(c), F.lit(0))
+    return out
+
+
+def n_buckets(records: DataFrame, bucket_rows: int, bucket_bytes: int, least_buckets: int) -> int:
+    rows, size = records.agg(F.count(F.lit(1)), F.coalesce(F.sum(n_bytes(records)), F.lit(0))).first()
+    return max(least_buckets, -(-rows // bucket_rows), -(-size // bucket_bytes))
+
+
+def assign(records: DataFrame, shards: int = 16, seed: int = 42, bucket_rows: int = 20_000, least_buckets: int = 256, bucket_bytes: int = 16 << 20) -> DataFrame:
     """(rec, shard, slot) for every record; ``rec`` is the input row as a struct.
 
-    ``bucket_rows`` is the mean size of a bucket, which one task holds in
-    memory; there are more buckets for more rows.  Records are compared and
-    ordered, so they may not hold maps."""
-    buckets = max(least_buckets, -(-records.count() // bucket_rows))
+    ``bucket_rows`` and ``bucket_bytes`` bound the mean size of a bucket, which
+    one task holds in memory; there are more buckets for more rows or longer
+    ones.  Records are compared and ordered, so they may not hold maps."""
+    buckets = n_buckets(records, bucket_rows, bucket_bytes, least_buckets)
     arrays = shuffled_buckets(scatter(records, buckets, seed), buckets, seed)
     group = F.floor(F.col("bucket") * F.lit(GROUPS) / F.lit(buckets))
     counts = arrays.select("bucket", group.alias("grp"), F.size("recs").cast("bigint").alias("n"))
@@ -70,12 +92,17 @@ def assign(records: DataFrame, shards: int = 16, seed: int = 42, bucket_rows: in
 def write_shards(records: DataFrame, path: str, shards: int = 16, seed: int = 42, **kw) -> None:
     """Write every shard as a folder ``shard=s`` with its rows in slot order."""
     placed = assign(records, shards, seed, **kw).select("shard", "slot", "rec")
-    placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def document_shards(docs: DataFrame, shards: int = 16, seed: int = 42, **kw) -> DataFrame:
-    """Shard and slot of every document, with its size and checksum."""
-    text = no_null("text")
-    records = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = assign(records, shards, seed, **kw)
-    return placed.select("rec.doc_id", "rec.size", "rec.text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Shard and slot of every document, with its size and checksum.  The whole
+    records are written as shards and all columns come from what was written."""
+    path = f"{ensure_checkpoint_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, shards, seed, **kw)
+    record = T.StructField("rec", docs.schema)
+    back = docs.sparkSession.read.schema(T.StructType([T.StructField("slot", T.LongType()), record, T.StructField("shard", T.IntegerType())])).parquet(path)
+    text = no_null(F.col("rec.text"))
+    return back.select(
+        "rec.doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from keyforge.llm import html_text, licences, quality_rules, vector_search
+from keyforge.llm import html_text, licences, quality_rules, shards, vector_search
 
 
 # ---- 1 ----
@@ -155,3 +155,18 @@ def test_equal_scores_go_by_id(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = vector_search.nearest(df, every=500).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
+# ---- 9 ----
+
+def test_buckets_by_bytes_and_whole_records_written(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * 10_000, "en") for i in range(100)], "doc_id bigint, text string, lang string")
+    assert shards.n_buckets(docs, 20_000, 50_000, 4) in range(20, 23) and shards.n_buckets(docs, 10, 1 << 30, 4) == 10
+    assert shards.n_buckets(docs.where("false"), 10, 10, 4) == 4
+    seen = []
+    write = shards.write_shards
+    monkeypatch.setattr(shards, "write_shards", lambda records, path, *a, **kw: (write(records, path, *a, **kw), seen.append(path)))
+    got = shards.document_shards(docs, least_buckets=4, bucket_bytes=50_000).collect()
+    held = spark.read.parquet(seen[0])
+    assert held.select("rec.*").columns == docs.columns and held.select("rec.*").exceptAll(docs).count() == 0 and len(got) == held.count() == 100
+    assert {(r["doc_id"], r["size"]) for r in got} == {(i, len(f"{i} ") + 10_001) for i in range(100)}
