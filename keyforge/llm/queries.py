@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from keyforge.llm import bpe, html_text, licences, mixing, neardup, oracles, quality_model, quality_rules, secret_scan, shards, vector_search
+from keyforge.llm import (
+    alignment, bpe, conversations, html_text, licences, mixing, neardup, oracles, pieces, quality_model, quality_rules, secret_scan, shards, vector_search,
+)
 from keyforge.llm.common import table
 
 
@@ -49,9 +51,22 @@ def op10_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_sentencepiece(spark, sf_dir):
+    return pieces.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_html_extraction, op3_byte_bpe, op4_secret_scan, op5_quality_classifier, op6_source_mixing,
-    op7_quality_rules, op8_nearest_neighbours, op9_sharding, op10_minhash_neardup)} | {"pipeline": corpus_pipeline.run}
+    op7_quality_rules, op8_nearest_neighbours, op9_sharding, op10_minhash_neardup, op11_sentencepiece, op12_token_alignment,
+    op13_conversation_repair)} | {"pipeline": corpus_pipeline.run}
 ORACLE = dict(oracles.ORACLE)
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
