@@ -1,6 +1,11 @@
 """Porter stemmer (M. F. Porter, "An algorithm for suffix stripping",
-Program 14(3), 1980) as a small per-token helper, plus an Arrow-batched
-``pandas_udf`` that stems token arrays (AGG5: ROUGE with stemming).
+Program 14(3), 1980) for ROUGE with stemming (AGG5).
+
+``stem_table`` stems a table of distinct tokens with column expressions: the
+measure and vowel conditions of the algorithm are regular expressions over
+consonant and vowel runs, its suffix rules are lists, and each step is one
+projection, so the work stays in the JVM.  ``stem`` is the same algorithm
+letter by letter; tests hold the two against each other.
 
 Following the ROUGE scorer, only tokens longer than 3 characters are
 stemmed.
@@ -10,9 +15,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _VOWELS = frozenset("aeiou")
 
@@ -134,7 +138,52 @@ def stem_token(t: str) -> str:
     return stem(t) if len(t) > 3 else t
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(col: pd.Series) -> pd.Series:
-    """Arrow-batched: stem every token of every array in the batch."""
-    return col.map(lambda arr: None if arr is None else [stem_token(t) for t in arr])
+# Runs of consonants and of vowels.  A y behind a consonant is a vowel; one at
+# the start of a word is a consonant and is written Y while the word is stemmed.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+MEASURE_1, MEASURE_2 = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}"
+MEASURE_IS_1 = f"^({_C})?{_V}{_C}({_V})?$"
+HAS_VOWEL = f"^({_C})?[aeiouy]"
+SHORT = f"^{_C}[aeiouy][^aeiouwxy]$"
+SUFFIX_RULES = {"2": _STEP2, "3": _STEP3, "4": [(s, "") for s in _STEP4]}
+
+
+def _cut(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
+def _doubled(w: Column) -> Column:
+    return F.substring(w, F.length(w), F.lit(1)) == F.substring(w, F.length(w) - 1, F.lit(1))
+
+
+def _rules(w: Column, rules: list, measure: str) -> Column:
+    out = None
+    for suffix, new in rules:
+        base = _cut(w, len(suffix))
+        ok = base.rlike(measure) & (base.rlike("[st]$") if suffix == "ion" else F.lit(True))
+        to = F.when(ok, F.concat(base, F.lit(new))).otherwise(w)
+        out = F.when(w.endswith(suffix), to) if out is None else out.when(w.endswith(suffix), to)
+    return out.otherwise(w)
+
+
+def stem_table(tokens: DataFrame, token: str = "token") -> DataFrame:
+    """(token, stem) of a table of distinct lower-case tokens."""
+    w = F.col("w")
+    t = tokens.select(token, F.regexp_replace(token, "^y", "Y").alias("w"))
+    steps = [F.when(w.endswith("sses") | w.endswith("ies"), _cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1)).otherwise(w)]
+    for step in steps:
+        t = t.withColumn("w", step)
+    ed, ing = w.endswith("ed") & _cut(w, 2).rlike(HAS_VOWEL), w.endswith("ing") & _cut(w, 3).rlike(HAS_VOWEL)
+    t = t.withColumn("bare", ~w.endswith("eed") & (ed | ing)).withColumn(
+        "w", F.when(w.endswith("eed"), F.when(_cut(w, 3).rlike(MEASURE_1), _cut(w, 1)).otherwise(w)).when(ed, _cut(w, 2)).when(ing, _cut(w, 3)).otherwise(w))
+    mended = (F.when(w.rlike("(at|bl|iz)$"), F.concat(w, F.lit("e"))).when(_doubled(w) & w.rlike("[^aeiouylsz]$"), _cut(w, 1))
+              .when(~(_doubled(w) & w.rlike("[^aeiouy]$") & ~w.rlike("[lsz]$")) & w.rlike(SHORT), F.concat(w, F.lit("e"))).otherwise(w))
+    t = t.withColumn("w", F.when(F.col("bare"), mended).otherwise(w)).drop("bare")
+    t = t.withColumn("w", F.when(w.endswith("y") & _cut(w, 1).rlike(HAS_VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w))
+    for name, measure in (("2", MEASURE_1), ("3", MEASURE_1), ("4", MEASURE_2)):
+        t = t.withColumn("w", _rules(w, SUFFIX_RULES[name], measure))
+    base = _cut(w, 1)
+    t = t.withColumn("w", F.when(w.endswith("e") & (base.rlike(MEASURE_2) | base.rlike(MEASURE_IS_1) & ~base.rlike(SHORT)), base).otherwise(w))
+    t = t.withColumn("w", F.when(w.endswith("ll") & w.rlike(MEASURE_2), _cut(w, 1)).otherwise(w))
+    done = F.regexp_replace("w", "^Y", "y")
+    return t.select(token, F.when(F.length(token) > 3, done).otherwise(F.col(token)).alias("stem"))

@@ -35,6 +35,7 @@ from keyforge.session import cut_lineage
 
 from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE, empty_strs, postprocess
+from keyforge.operators.maxsum import maxsum_select
 
 SIM_DIGITS = 12
 # Documents: the last tier is the document's whole candidate list, bounded
@@ -288,7 +289,7 @@ def ranked_keyphrases(docs: DataFrame, cfg: KeyBertConfig | None = None) -> Data
     cfg = cfg or KeyBertConfig()
     cands = tfidf_candidates(docs, cfg)
     if cfg.use_maxsum:
-        return maxsum_select(cands, cfg.top_k, cfg.nr_candidates)
+        return maxsum_select(cands, cfg.top_k, cfg.nr_candidates, term_pair_sim, ["terms", "norm", "tn"])
     if cfg.use_mmr:
         return mmr_select(cands, cfg.top_k, cfg.diversity, ["terms", "norm", "tn"], term_pair_sim).drop("score")
     w = Window.partitionBy("doc_id").orderBy(F.col("sim").desc(), F.col("phrase"))
@@ -296,35 +297,6 @@ def ranked_keyphrases(docs: DataFrame, cfg: KeyBertConfig | None = None) -> Data
             .select("doc_id", "rank", "phrase", "sim"))
 
 
-def maxsum_select(cands: DataFrame, top_n: int, nr_candidates: int) -> DataFrame:
-    """KEY6 Max Sum Similarity: among the ``nr_candidates`` best, the
-    ``top_n`` subset with the smallest pairwise similarity sum.  Subsets are
-    enumerated per document, so sizes are guarded (C(10, 5) = 252 subsets)."""
-    if nr_candidates > 10 or top_n > 5 or top_n > nr_candidates:
-        raise ValueError("MaxSum enumerates subsets; keep top_n <= 5 and nr_candidates <= 10")
-    w = Window.partitionBy("doc_id").orderBy(F.col("sim").desc(), F.col("phrase"))
-    top = cands.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= nr_candidates)
-    arr = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(
-        F.struct("rk", "phrase", "sim", "terms", "norm", "tn"))).alias("c"))
-    import itertools
-    combos = [list(c) for c in itertools.combinations(range(1, nr_candidates + 1), top_n)]
-    lit_combos = F.array(*[F.array(*[F.lit(i) for i in c]) for c in combos])
-
-    def cost(combo):
-        pairs = F.transform(combo, lambda a: F.aggregate(
-            F.filter(combo, lambda b: b > a), F.lit(0.0),
-            lambda z, b: z + term_pair_sim(F.element_at("c", a), F.element_at("c", b))))
-        return F.aggregate(pairs, F.lit(0.0), lambda z, v: z + v)
-
-    valid = F.filter(lit_combos, lambda cmb: F.array_max(cmb) <= F.size("c"))
-    scored = F.transform(valid, lambda cmb: F.struct(cost(cmb).alias("cost"), cmb.alias("idx")))
-    best = F.array_min(scored)["idx"]
-    out = arr.select("doc_id", F.transform(best, lambda i: F.element_at("c", i)).alias("picked"))
-    return (out.select("doc_id", F.posexplode("picked").alias("pos", "p"))
-            .select("doc_id", (F.col("pos") + 1).alias("rank"), F.col("p.phrase").alias("phrase"),
-                    F.col("p.sim").alias("sim")))
-
-
 def extract(docs: DataFrame, cfg: KeyBertConfig | None = None) -> DataFrame:
     """KEY1 ``KeyBertExtractor.extract`` for every document: (doc_id,
     keywords) in selection order, KWD5-post-processed; blank documents ``[]``."""

@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyforge.functions.porter import stem_table
 from keyforge.functions.text import col_, fold, join_keywords
+from keyforge.session import written
 
 ROUGE_TOKEN = "[a-z0-9]+"
 
@@ -97,20 +99,43 @@ def rougeL(pt: Column, rt: Column) -> Column:
     return F.when((n == 0) | (m == 0), F.lit(0.0)).otherwise(_fmeasure(lcs, n, m))
 
 
+def stemmed(t: DataFrame, cols: tuple = ("_pt", "_rt")) -> DataFrame:
+    """AGG5: ``t`` with the tokens of two array columns replaced by their stems.
+    Every distinct token is stemmed once; the stems come back by a join on the
+    token with the written stem table (AQE can split its hot tokens), and by
+    row and place."""
+    t = written(t.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    words = t.select("_row", F.posexplode(F.concat(*cols)).alias("pos", "token"))
+    stems = written(stem_table(words.select("token").distinct()), "stems")
+    back = (words.join(stems, "token").groupBy("_row")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s")).select("_row", F.col("s.stem").alias("s")))
+    a, b = cols
+    s = F.coalesce("s", F.array().cast("array<string>"))
+    return (t.join(back, "_row", "left")
+            .select(*(c for c in t.columns if c not in (*cols, "_row")), F.slice(s, 1, F.size(a)).alias(a),
+                    F.slice(s, F.size(a) + 1, F.size(b)).alias(b)))
+
+
+def _scored(pairs: DataFrame, pred: str, ref: str, keep: list, use_stemmer: bool) -> DataFrame:
+    """``keep`` columns with the ROUGE tokens ``_pt`` and ``_rt`` of every pair."""
+    t = pairs.select(*keep, rouge_tokens(F.col(pred)).alias("_pt"), rouge_tokens(F.col(ref)).alias("_rt"))
+    return stemmed(t) if use_stemmer else t
+
+
 def rouge_per_doc(pairs: DataFrame, pred: str = "pred", ref: str = "ref",
-                  keep: list[str] | None = None) -> DataFrame:
+                  keep: list[str] | None = None, use_stemmer: bool = True) -> DataFrame:
     keep = keep or []
-    t = pairs.select(*keep, rouge_tokens(F.col(pred)).alias("_pt"),
-                     rouge_tokens(F.col(ref)).alias("_rt"))
+    t = _scored(pairs, pred, ref, keep, use_stemmer)
     return t.select(*keep, rouge1(F.col("_pt"), F.col("_rt")).alias("rouge1"),
                     rougeL(F.col("_pt"), F.col("_rt")).alias("rougeL"))
 
 
 def rouge_scores(pairs: DataFrame, pred: str = "pred", ref: str = "ref",
-                 by: list[str] | None = None) -> DataFrame:
-    """AGG4 ``rouge_scores``: corpus means and their average; count = max(1, n)."""
+                 by: list[str] | None = None, use_stemmer: bool = True) -> DataFrame:
+    """AGG4 ``rouge_scores``: corpus means and their average; count = max(1, n).
+    Tokens are stemmed (AGG5) unless ``use_stemmer`` is off."""
     by = by or []
-    per = rouge_per_doc(pairs, pred, ref, keep=by)
+    per = rouge_per_doc(pairs, pred, ref, by, use_stemmer)
     agg = per.groupBy(*by).agg(F.sum("rouge1").alias("s1"), F.sum("rougeL").alias("sl"),
                                F.count(F.lit(1)).alias("n"))
     n = F.greatest(F.col("n"), F.lit(1))
@@ -120,13 +145,12 @@ def rouge_scores(pairs: DataFrame, pred: str = "pred", ref: str = "ref",
 
 
 def evaluation_report(pairs: DataFrame, pred: str = "pred", ref: str = "ref",
-                      by: list[str] | None = None) -> DataFrame:
-    """AGG7 / AGG6: ROUGE means plus micro set-F1 in one pass over the pairs
-    (one aggregate, grouped by ``by``)."""
+                      by: list[str] | None = None, use_stemmer: bool = True) -> DataFrame:
+    """AGG7 / AGG6: ROUGE means (of stems unless ``use_stemmer`` is off) plus
+    micro set-F1 in one pass over the pairs (one aggregate, grouped by ``by``)."""
     by = by or []
     tp, fp, fn = set_counts(pred, ref)
-    t = pairs.select(*by, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"),
-                     rouge_tokens(F.col(pred)).alias("_pt"), rouge_tokens(F.col(ref)).alias("_rt"))
+    t = _scored(pairs, pred, ref, [*by, tp.alias("tp"), fp.alias("fp"), fn.alias("fn")], use_stemmer)
     t = t.select(*by, "tp", "fp", "fn", rouge1(F.col("_pt"), F.col("_rt")).alias("r1"),
                  rougeL(F.col("_pt"), F.col("_rt")).alias("rl"))
     agg = t.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),

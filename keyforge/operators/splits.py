@@ -1,41 +1,61 @@
 """Seeded splits, batches and sample caps (SPL1-SPL6).
 
 Rows are ordered by ``md5(concat(id, ':', seed))``.  Exact positions in that
-order come from a distributed range sort: every range partition counts its
-rows, a tiny offsets table (one row per partition, broadcast) turns the
-in-partition position into a global rank.  No single-partition window is
-used.  The scalable mode needs no sort at all: the first 32 bits of the
-hash pick the split directly (proportions are then approximate).
+order come from a *rank index*: the ids alone are range-sorted and written
+with their place in their partition, and a tiny offsets table (one row per
+partition, broadcast) turns the place into a global rank.  The written index
+holds one row per id and never changes, whatever executors are lost later;
+texts, id arrays and other wide columns take no part in the sort, they meet
+the index in one join on the id.  No single-partition window is used.  The
+scalable mode needs no sort at all: the first 32 bits of the hash pick the
+split directly (proportions are then approximate).
+
+Ids are unique (a null id counts as one id).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyforge.session import written
+
 
 def shuffle_key(id_col: str = "doc_id", seed: int = 42):
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.lit(str(seed))))
 
 
-def exact_rank(df: DataFrame, order_cols: list, rank_col: str = "rn") -> DataFrame:
-    """1-based global rank of every row by ``order_cols`` (ties must not
-    occur; add a unique column last).  Distributed: range sort + offsets."""
+def rank_index(df: DataFrame, order_cols: list, id_cols: list[str], rank_col: str = "rn") -> DataFrame:
+    """(id_cols..., rank_col): the 1-based global rank of every row of ``df`` by
+    ``order_cols`` (ties must not occur; add a unique column last), as a
+    written table.  ``df`` should hold no more than the ids and what orders
+    them."""
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    part = F.spark_partition_id()
+    place = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    s = written(df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
+                .select(*id_cols, part.alias("_pid"), place.alias("_place")), "rank-index")
+    offsets = (s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off")))
     # One row per partition: a proven size bound, so it is broadcast.
-    r = s.join(F.broadcast(offsets), "_pid")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return r.withColumn(rank_col, F.col("_off") + pos + 1).drop("_pid", "_mid", "_off")
+    return s.join(F.broadcast(offsets), "_pid").select(*id_cols, (F.col("_off") + F.col("_place") + 1).alias(rank_col))
+
+
+def seeded_rank(df: DataFrame, id_col: str = "doc_id", seed: int = 42) -> tuple[DataFrame, int]:
+    """``df`` with ``rn``, the rank of its id in the seeded order, and the number of rows."""
+    index = rank_index(df.select(id_col, shuffle_key(id_col, seed).alias("_h")), ["_h", id_col], [id_col])
+    n = index.count()  # one number to the driver, from the written index
+    return (index if df.columns == [id_col] else join_index(df, index, [id_col])), n
+
+
+def join_index(df: DataFrame, index: DataFrame, id_cols: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``index``, matched on ids that may be null."""
+    index = index.select(*(F.col(c).alias(f"_i_{c}") for c in id_cols), *(c for c in index.columns if c not in id_cols))
+    on = [df[c].eqNullSafe(index[f"_i_{c}"]) for c in id_cols]
+    return df.join(index, on).drop(*(f"_i_{c}" for c in id_cols))
 
 
 def split_counts(n: int, test_size: float = 0.2, val_share: float = 0.5) -> tuple[int, int, int]:
@@ -52,8 +72,7 @@ def three_way_split(df: DataFrame, id_col: str = "doc_id", seed: int = 42, test_
                     second_from: str = "held") -> DataFrame:
     """SPL1 (80/10/10, ``second_from='held'``) and SPL2 (80/20 then 90/10 of
     train, ``second_from='train'``) with exact counts.  Adds ``split``."""
-    ranked = exact_rank(df.withColumn("_h", shuffle_key(id_col, seed)), ["_h", id_col])
-    n = ranked.count()  # one number to the driver; the sorted table is cached
+    ranked, n = seeded_rank(df, id_col, seed)
     held = math.ceil(test_size * n)
     if second_from == "held":
         n_train, n_val = n - held, held - math.ceil(second * held)
@@ -63,7 +82,7 @@ def three_way_split(df: DataFrame, id_col: str = "doc_id", seed: int = 42, test_
     out = ranked.withColumn("_a", F.lit(n_train)).withColumn("_b", F.lit(n_train + n_val))
     split = (F.when(F.col("rn") <= F.col("_a"), F.lit(names[0]))
              .when(F.col("rn") <= F.col("_b"), F.lit(names[1])).otherwise(F.lit(names[2])))
-    return out.withColumn("split", split).drop("_h", "_a", "_b", "rn")
+    return out.withColumn("split", split).drop("_a", "_b", "rn")
 
 
 def hash_split(df: DataFrame, id_col: str = "doc_id", seed: int = 42, fractions=(0.8, 0.1, 0.1),
@@ -79,12 +98,12 @@ def batches(df: DataFrame, batch_size: int, id_col: str = "doc_id", seed: int =
     """SPL3 ``generate_batch_indices`` (and SPL6 with ``drop_remainder=False``):
     ``batch_id`` = (rank - 1) // batch_size over the seeded order; with
     ``drop_remainder`` the incomplete last batch is left out."""
-    ranked = exact_rank(df.withColumn("_h", shuffle_key(id_col, seed)), ["_h", id_col])
+    ranked, n = seeded_rank(df, id_col, seed)
     out = ranked.withColumn("batch_id", F.floor((F.col("rn") - 1) / batch_size))
     if drop_remainder:
-        n_batches = ranked.count() // batch_size  # one number to the driver
+        n_batches = n // batch_size
         out = out.where(F.col("batch_id") < n_batches)
-    return out.drop("_h")
+    return out
 
 
 def select_batch(batched: DataFrame, batch_num: int) -> DataFrame:

@@ -25,31 +25,31 @@ PUNCT_RUN = r"[^\p{L}\p{N}\s]+"
 HAS_WORD = r"[\p{L}\p{N}]"
 
 
-def sentence_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, sent): sentences with at least one word character,
+def sentence_table(docs: DataFrame, keep: tuple = ()) -> DataFrame:
+    """(doc_id, keep..., sid, sent): sentences with at least one word character,
     numbered from 0 in document order; plus ``n_sent`` per document."""
     sents = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), SENT_SPLIT, -1),
                      lambda s: s.rlike(HAS_WORD))
-    return (docs.select("doc_id", sents.alias("_s"))
-            .select("doc_id", F.size("_s").alias("n_sent"), F.posexplode("_s").alias("sid", "sent")))
+    return (docs.select("doc_id", *keep, sents.alias("_s"))
+            .select("doc_id", *keep, F.size("_s").alias("n_sent"), F.posexplode("_s").alias("sid", "sent")))
 
 
-def block_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_sent, sid, bid, toks): the token array of every block."""
-    s = sentence_table(docs)
+def block_table(docs: DataFrame, keep: tuple = ()) -> DataFrame:
+    """(doc_id, keep..., n_sent, sid, bid, toks): the token array of every block."""
+    s = sentence_table(docs, keep)
     blocks = F.filter(F.split("sent", PUNCT_RUN, -1), lambda x: x.rlike(HAS_WORD))
-    b = s.select("doc_id", "n_sent", "sid", F.posexplode(blocks).alias("bid", "block"))
-    return b.select("doc_id", "n_sent", "sid", "bid",
+    b = s.select("doc_id", *keep, "n_sent", "sid", F.posexplode(blocks).alias("bid", "block"))
+    return b.select("doc_id", *keep, "n_sent", "sid", "bid",
                     F.regexp_extract_all("block", F.lit(TOKEN_RE), 0).alias("toks"))
 
 
-def token_table(docs: DataFrame, reach: int = 2) -> DataFrame:
-    """(doc_id, n_sent, sid, bid, tid, tok, nxt1..nxt{reach}) with ``nxt*`` the
-    following tokens of the same block (null past its end)."""
-    return token_table_from_blocks(block_table(docs).where(F.size("toks") > 0), reach)
+def token_table(docs: DataFrame, reach: int = 2, keep: tuple = ()) -> DataFrame:
+    """(doc_id, keep..., n_sent, sid, bid, tid, tok, nxt1..nxt{reach}) with ``nxt*``
+    the following tokens of the same block (null past its end)."""
+    return token_table_from_blocks(block_table(docs, keep).where(F.size("toks") > 0), reach, keep)
 
 
-def token_table_from_blocks(b: DataFrame, reach: int = 2) -> DataFrame:
+def token_table_from_blocks(b: DataFrame, reach: int = 2, keep: tuple = ()) -> DataFrame:
     """Token rows of a (possibly shared, persisted) block table."""
 
     def item(x, i):
@@ -57,9 +57,9 @@ def token_table_from_blocks(b: DataFrame, reach: int = 2) -> DataFrame:
                                      for d in range(1, reach + 1)]
         return F.struct(*fields)
 
-    t = b.select("doc_id", "n_sent", "sid", "bid",
+    t = b.select("doc_id", *keep, "n_sent", "sid", "bid",
                  F.posexplode(F.transform("toks", item)).alias("tid", "e"))
-    return t.select("doc_id", "n_sent", "sid", "bid", "tid", "e.*")
+    return t.select("doc_id", *keep, "n_sent", "sid", "bid", "tid", "e.*")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:

@@ -7,13 +7,18 @@ score, YAK6 near-duplicate walk, TOP1 ordering, YAK1 wrapper
 Term ``t`` of a document (lower-cased token):
   tf, tf_a (all upper-case occurrences), tf_n (capitalised, not first of its
   sentence), sentence ids S(t) (distinct), left/right neighbours inside a
-  block (window 1, pairs with a digit or mixed letter-digit token skipped):
+  block (pairs up to ``window_size`` tokens apart; pairs with a digit or mixed
+  letter-digit token skipped):
   DL = distinct left / left count, DR likewise.
   TCase = max(tf_a, tf_n) / (1 + ln tf)        TPos = ln(ln(3 + median S(t)))
   TFnorm = tf / (mean tf + sd tf) over non-stop terms
   TRel = 1 + (DL + DR) * tf / max tf           TSent = |S(t)| / #sentences
   H(t) = TRel * TPos / (TCase + TFnorm / TRel + TSent / TRel)
-Candidate ``c`` (1..n consecutive tokens of one block; no digit / mixed
+``features`` names the parts of H in use (WRel, WFreq, WSpread, WCase, WPos;
+None: all); a part that is left out has its neutral value, 1 for TRel and TPos
+and 0 for the others.  Stop words follow ``language``, or the language that a
+column of the documents names for each row.
+Candidate ``c`` (1..n consecutive tokens, any n of one block; no digit / mixed
 token; first and last not a stop word; stop word = listed or shorter than
 3 characters):  prod = product of H over non-stop terms times (2 - p) per
 inner stop word, sum = sum of H minus (1 - p) per inner stop word, with
@@ -28,12 +33,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyforge.session import cut_lineage
 
-from keyforge.functions.stopwords import ENGLISH
+from keyforge.functions.stopwords import BY_LANGUAGE
 from keyforge.functions.text import empty_strs, postprocess
 from keyforge.operators.greedy import greedy_walk
 from keyforge.operators.tokens import is_digit, is_mixed, token_table
@@ -41,25 +46,66 @@ from keyforge.operators.tokens import is_digit, is_mixed, token_table
 SCORE_DIGITS = 12  # scores are ranked after rounding, absorbing last-ulp noise
 
 
+FEATURES = ("WRel", "WFreq", "WSpread", "WCase", "WPos")
+
+
 @dataclass
 class YakeConfig:
+    language: str = "en"
     max_ngram_size: int = 3
     dedup_thresh: float = 0.9
+    window_size: int = 1
     top_k: int = 20
-    stopwords: tuple = field(default_factory=lambda: tuple(ENGLISH))
+    features: tuple | None = None
     lowercase: bool = False
     min_len: int = 2
     max_len: int | None = None
     dedupe: bool = True
+    #: A list of one's own in place of the language's.
+    stopwords: tuple | None = None
+    #: A column of the documents that names each one's language; languages without a list use ``language``.
+    language_col: str | None = None
+
+    def __post_init__(self):
+        if self.stopwords is None and self.language not in BY_LANGUAGE:
+            raise ValueError(f"no stop words for {self.language!r}; known are {sorted(BY_LANGUAGE)}, or pass stopwords")
+        if self.max_ngram_size < 1 or self.window_size < 1:
+            raise ValueError("max_ngram_size and window_size start at 1")
+        unknown = set(self.features or ()) - set(FEATURES)
+        if unknown or self.features is not None and not {"WFreq", "WSpread"} & set(self.features):
+            raise ValueError(f"features are {FEATURES}, with WFreq or WSpread among them: without both H divides by 0")
+
+    @property
+    def keep(self) -> tuple:
+        """Columns of the documents that the token table carries along."""
+        return (self.language_col,) if self.language_col else ()
+
+    @property
+    def reach(self) -> int:
+        return max(self.window_size, self.max_ngram_size - 1, 1)
+
+    def uses(self, feature: str) -> bool:
+        return self.features is None or feature in self.features
+
+
+def _listed(term: Column, cfg: YakeConfig) -> Column:
+    own = term.isin(list(cfg.stopwords or BY_LANGUAGE[cfg.language]))
+    if cfg.language_col and cfg.stopwords is None:
+        by = None
+        for lang, words in BY_LANGUAGE.items():
+            hit = F.col(cfg.language_col) == lang
+            by = F.when(hit, term.isin(list(words))) if by is None else by.when(hit, term.isin(list(words)))
+        own = by.otherwise(own)
+    return own
 
 
-def _stop(term, stopwords):
-    return term.isin(list(stopwords)) | (F.length(term) < 3)
+def _stop(term: Column, cfg: YakeConfig) -> Column:
+    return _listed(term, cfg) | (F.length(term) < 3)
 
 
 def _joined_stats(stats, left, right, cfg):
     return (stats.join(left, ["doc_id", "term"], "left").join(right, ["doc_id", "term"], "left")
-            .withColumn("stop", _stop(F.col("term"), cfg.stopwords)))
+            .withColumn("stop", _stop(F.col("term"), cfg)))
 
 
 def term_statistics(toks: DataFrame, cfg: YakeConfig) -> DataFrame:
@@ -71,10 +117,9 @@ def term_statistics(toks: DataFrame, cfg: YakeConfig) -> DataFrame:
 def term_scores(toks: DataFrame, cfg: YakeConfig, raw: bool = False):
     """YAK2-YAK4. Returns (terms(doc_id, term, tf, stop, H), edges(doc_id, a, b, w))."""
     t = toks.select(
-        "doc_id", "n_sent", "sid", "bid", "tid", F.lower("tok").alias("term"), "tok",
-        F.lower("nxt1").alias("nxt"),
-        (is_digit(F.col("tok")) | is_mixed(F.col("tok"))).alias("discard"),
-        (is_digit(F.col("nxt1")) | is_mixed(F.col("nxt1"))).alias("nxt_discard"))
+        "doc_id", *cfg.keep, "n_sent", "sid", "bid", "tid", F.lower("tok").alias("term"), "tok",
+        *(F.col(f"nxt{d}") for d in range(1, cfg.window_size + 1)),
+        (is_digit(F.col("tok")) | is_mixed(F.col("tok"))).alias("discard"))
     tag_a = F.col("tok").rlike(r"^\p{Lu}+$") & ~F.col("discard")
     tag_n = (F.col("tok").rlike(r"^\p{Lu}") & ~tag_a & ~F.col("discard")
              & ~((F.col("bid") == 0) & (F.col("tid") == 0)))
@@ -84,15 +129,17 @@ def term_scores(toks: DataFrame, cfg: YakeConfig, raw: bool = False):
     stats = (t.groupBy("doc_id", "term")
              .agg(F.count(F.lit(1)).alias("tf"), F.sum(tag_a.cast("int")).alias("tf_a"),
                   F.sum(tag_n.cast("int")).alias("tf_n"), F.array_sort(F.collect_set("sid")).alias("sids"),
-                  F.first("n_sent").alias("n_sent")))
+                  F.first("n_sent").alias("n_sent"), *(F.first(c).alias(c) for c in cfg.keep)))
     k = F.size("sids")
     lo = F.element_at("sids", F.floor((k - 1) / 2).cast("int") + 1)
     hi = F.element_at("sids", F.ceil((k - 1) / 2).cast("int") + 1)
-    stats = stats.select("doc_id", "term", "tf", "tf_a", "tf_n", "n_sent", k.alias("sf"),
+    stats = stats.select("doc_id", *cfg.keep, "term", "tf", "tf_a", "tf_n", "n_sent", k.alias("sf"),
                          (lo + (hi - lo) * F.lit(0.5)).alias("med"))
-    edges = (t.where(F.col("nxt").isNotNull() & ~F.col("discard") & ~F.col("nxt_discard"))
-             .groupBy("doc_id", F.col("term").alias("a"), F.col("nxt").alias("b"))
-             .agg(F.count(F.lit(1)).alias("w")))
+    # All following tokens within the window, from one explode.
+    near = F.filter(F.array(*[F.when(~(is_digit(F.col(c)) | is_mixed(F.col(c))), F.lower(c))
+                              for c in (f"nxt{d}" for d in range(1, cfg.window_size + 1))]), lambda x: x.isNotNull())
+    edges = (t.where(~F.col("discard")).select("doc_id", F.col("term").alias("a"), F.explode(near).alias("b"))
+             .groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("w")))
     right = edges.groupBy("doc_id", F.col("a").alias("term")).agg(
         F.count(F.lit(1)).alias("wdr"), F.sum("w").alias("wir"))
     left = edges.groupBy("doc_id", F.col("b").alias("term")).agg(
@@ -107,11 +154,12 @@ def term_scores(toks: DataFrame, cfg: YakeConfig, raw: bool = False):
          .withColumn("std_tf", F.stddev_pop(valid_tf).over(doc)))
     pwl = F.when(F.col("wil") > 0, F.col("wdl") / F.col("wil")).otherwise(F.lit(0.0))
     pwr = F.when(F.col("wir") > 0, F.col("wdr") / F.col("wir")).otherwise(F.lit(0.0))
-    rel = (F.lit(0.5) + pwl * (F.col("tf") / F.col("max_tf"))) + (F.lit(0.5) + pwr * (F.col("tf") / F.col("max_tf")))
-    freq = F.col("tf") / (F.col("avg_tf") + F.col("std_tf"))
-    spread = F.col("sf") / F.col("n_sent")
-    case = F.greatest("tf_a", "tf_n") / (F.lit(1.0) + F.log(F.col("tf")))
-    pos = F.log(F.log(F.lit(3.0) + F.col("med")))
+    one, none = F.lit(1.0), F.lit(0.0)
+    rel = ((F.lit(0.5) + pwl * (F.col("tf") / F.col("max_tf"))) + (F.lit(0.5) + pwr * (F.col("tf") / F.col("max_tf")))) if cfg.uses("WRel") else one
+    freq = F.col("tf") / (F.col("avg_tf") + F.col("std_tf")) if cfg.uses("WFreq") else none
+    spread = F.col("sf") / F.col("n_sent") if cfg.uses("WSpread") else none
+    case = F.greatest("tf_a", "tf_n") / (one + F.log(F.col("tf"))) if cfg.uses("WCase") else none
+    pos = F.log(F.log(F.lit(3.0) + F.col("med"))) if cfg.uses("WPos") else one
     h = (pos * rel) / (case + (freq / rel) + (spread / rel))
     terms = s.select("doc_id", "term", "tf", "stop", h.alias("H"))
     return terms, edges
@@ -125,8 +173,6 @@ def candidates(toks: DataFrame, terms: DataFrame, edges: DataFrame, cfg: YakeCon
     a block's annotated tokens are then cut into 1..n-grams by array index,
     so the candidate table needs no further join."""
     n = cfg.max_ngram_size
-    if not 1 <= n <= 3:
-        raise ValueError("max_ngram_size must be 1, 2 or 3 (the reference's range)")
     t = toks.select("doc_id", "sid", "bid", "tid", F.lower("tok").alias("term"), F.lower("nxt1").alias("nxt"),
                     (is_digit(F.col("tok")) | is_mixed(F.col("tok"))).alias("disc"))
     t = t.join(terms.select("doc_id", "term", "H", "stop", "tf"), ["doc_id", "term"], "left")
@@ -144,19 +190,18 @@ def candidates(toks: DataFrame, terms: DataFrame, edges: DataFrame, cfg: YakeCon
     grams = grams.where(ok).select("doc_id", F.array_join(g["term"], " ").alias("phrase"), "g")
     cand = grams.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("ctf"), F.first("g").alias("g"))
     g = F.col("g")
-    size = F.size(g)
-    e = lambda i: F.element_at(g, i)
+    e = lambda i: F.get(g, i)
     one, zero = F.lit(1.0), F.lit(0.0)
-    # Same operation order as the term-by-term definition.
-    p = (F.coalesce(e(1)["w"], F.lit(0)) / e(1)["tf"]) * (F.coalesce(e(2)["w"], F.lit(0)) / e(3)["tf"])
-    prod = (F.when(size == 1, one * e(1)["H"])
-            .when(size == 2, one * e(1)["H"] * e(2)["H"])
-            .when(e(2)["stop"], one * e(1)["H"] * (one + (one - p)) * e(3)["H"])
-            .otherwise(one * e(1)["H"] * e(2)["H"] * e(3)["H"]))
-    total = (F.when(size == 1, zero + e(1)["H"])
-             .when(size == 2, zero + e(1)["H"] + e(2)["H"])
-             .when(e(2)["stop"], zero + e(1)["H"] - (one - p) + e(3)["H"])
-             .otherwise(zero + e(1)["H"] + e(2)["H"] + e(3)["H"]))
+    # Term by term from the left; places past the end add nothing.  A stop word
+    # is never first or last, so it has both neighbours.
+    prod, total = one, zero
+    for i in range(n):
+        factor, addend = e(i)["H"], e(i)["H"]
+        if 0 < i < n - 1:
+            p = (F.coalesce(e(i - 1)["w"], F.lit(0)) / e(i - 1)["tf"]) * (F.coalesce(e(i)["w"], F.lit(0)) / e(i + 1)["tf"])
+            factor = F.when(e(i)["stop"], one + (one - p)).otherwise(factor)
+            addend = F.when(e(i)["stop"], -(one - p)).otherwise(addend)
+        prod, total = prod * F.coalesce(factor, one), total + F.coalesce(addend, zero)
     score = prod / ((total + one) * F.col("ctf"))
     return cand.select("doc_id", "phrase", score.alias("score"))
 
@@ -175,7 +220,7 @@ def ranked_keyphrases(docs: DataFrame, cfg: YakeConfig | None = None, toks: Data
     # The token, term and edge tables each feed several branches; persist them
     # (spill-safe, recomputed from lineage if an executor is lost) so they
     # are computed once instead of once per branch.
-    toks = toks if toks is not None else token_table(docs, reach=cfg.max_ngram_size - 1)
+    toks = toks if toks is not None else token_table(docs, cfg.reach, cfg.keep)
     toks = toks.persist(StorageLevel.MEMORY_AND_DISK)
     terms, edges = term_scores(toks, cfg)
     terms = terms.persist(StorageLevel.MEMORY_AND_DISK)

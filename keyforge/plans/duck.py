@@ -151,3 +151,44 @@ def parse_keyword_lines(x: str, tag: str = "KEYWORDS") -> str:
 def parse_answer(x: str) -> str:
     lit = parse_list_literal(x)
     return f"(CASE WHEN len({lit}) > 0 THEN {lit} ELSE {parse_keyword_lines(x)} END)"
+
+
+# --- stemming ---------------------------------------------------------------
+
+def _stem_rules(rules: list, measure: str) -> str:
+    cases = []
+    for suffix, new in rules:
+        base = f"left(w, length(w) - {len(suffix)})"
+        extra = f" AND right({base}, 1) IN ('s', 't')" if suffix == "ion" else ""
+        cases.append(f"WHEN ends_with(w, '{suffix}') THEN CASE WHEN regexp_matches({base}, '{measure}'){extra} THEN {base} || '{new}' ELSE w END")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def stem_ctes(words: str) -> str:
+    """``stems(token, stem)`` of the distinct ``token`` of the relation ``words``:
+    the Porter algorithm, one CTE a step.  Consonant and vowel runs are spelled
+    out here, apart from the code under test."""
+    from keyforge.functions.porter import _STEP2, _STEP3, _STEP4
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    m1, m2 = f"^({c})?{v}{c}", f"^({c})?{v}{c}{v}{c}"
+    one, vowel, short = f"^({c})?{v}{c}({v})?$", f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    doubled = "right(w, 1) = substr(w, length(w) - 1, 1)"
+    steps = [
+        (f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut(1)} ELSE w END", "false"),
+        (f"""CASE WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches({cut(3)}, '{m1}') THEN {cut(1)} ELSE w END
+            WHEN ends_with(w, 'ed') AND regexp_matches({cut(2)}, '{vowel}') THEN {cut(2)}
+            WHEN ends_with(w, 'ing') AND regexp_matches({cut(3)}, '{vowel}') THEN {cut(3)} ELSE w END""",
+         f"""NOT ends_with(w, 'eed') AND ((ends_with(w, 'ed') AND regexp_matches({cut(2)}, '{vowel}')) OR (ends_with(w, 'ing') AND regexp_matches({cut(3)}, '{vowel}')))"""),
+        (f"""CASE WHEN NOT bare THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
+            WHEN {doubled} AND regexp_matches(w, '[^aeiouylsz]$') THEN {cut(1)}
+            WHEN regexp_matches(w, '{short}') THEN w || 'e' ELSE w END""", "false"),
+        (f"CASE WHEN ends_with(w, 'y') AND regexp_matches({cut(1)}, '{vowel}') THEN {cut(1)} || 'i' ELSE w END", "false"),
+        (_stem_rules(_STEP2, m1), "false"), (_stem_rules(_STEP3, m1), "false"), (_stem_rules([(x, "") for x in _STEP4], m2), "false"),
+        (f"CASE WHEN ends_with(w, 'e') AND (regexp_matches({cut(1)}, '{m2}') OR (regexp_matches({cut(1)}, '{one}') AND NOT regexp_matches({cut(1)}, '{short}'))) THEN {cut(1)} ELSE w END", "false"),
+        (f"CASE WHEN ends_with(w, 'll') AND regexp_matches(w, '{m2}') THEN {cut(1)} ELSE w END", "false")]
+    out = [f"st0 AS (SELECT DISTINCT token, regexp_replace(token, '^y', 'Y') AS w, false AS bare FROM {words})"]
+    for k, (word, bare) in enumerate(steps):
+        out.append(f"st{k + 1} AS (SELECT token, {word} AS w, {bare} AS bare FROM st{k})")
+    out.append(f"stems AS (SELECT token, CASE WHEN length(token) > 3 THEN regexp_replace(w, '^Y', 'y') ELSE token END AS stem FROM st{len(steps)})")
+    return ",\n".join(out)

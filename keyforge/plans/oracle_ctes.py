@@ -105,3 +105,15 @@ def lcs(pt: str, rt: str) -> str:
 def rougeL(pt: str, rt: str) -> str:
     return (f"(CASE WHEN len({pt}) = 0 OR len({rt}) = 0 THEN 0.0 ELSE "
             f"{fmeasure(lcs(pt, rt), f'len({pt})', f'len({rt})')} END)")
+
+
+def stemmed_tokens(src: str, keys: str = "doc_id") -> str:
+    """``stemmed``: the rows of ``src`` (``keys``, token lists ``pt`` and ``rt``) with stems for tokens."""
+    def side(c: str) -> str:
+        return f"""(SELECT {keys}, list(stem ORDER BY pos) AS {c} FROM (
+          SELECT {keys}, unnest({c}) AS token, unnest(range(len({c}))) AS pos FROM {src}) JOIN stems USING (token) GROUP BY {keys}) s_{c}"""
+    return f"""
+st_words AS (SELECT unnest(list_concat(pt, rt)) AS token FROM {src}),
+{D.stem_ctes('st_words')},
+stemmed AS (SELECT src.* EXCLUDE (pt, rt), coalesce(s_pt.pt, []::VARCHAR[]) AS pt, coalesce(s_rt.rt, []::VARCHAR[]) AS rt
+            FROM {src} src LEFT JOIN {side('pt')} USING ({keys}) LEFT JOIN {side('rt')} USING ({keys}))"""

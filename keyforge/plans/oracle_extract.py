@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyforge.functions.stopwords import ENGLISH
+from keyforge.functions.stopwords import BY_LANGUAGE, ENGLISH
 from keyforge.functions.text import TOKEN_RE
 from keyforge.plans import duck as D
 
@@ -22,60 +22,97 @@ def ascii_map(x: str) -> str:
     return f"translate({x}, {D.q(LATIN_FROM)}, {D.q(LATIN_TO)})"
 
 
-def stop(x: str) -> str:
-    return f"(list_contains({STOP_SQL}, {x}) OR length({x}) < 3)"
+def word_list(words) -> str:
+    return "[" + ", ".join(D.q(w) for w in words) + "]"
+
+
+def stop(x: str, lang: str | None = None) -> str:
+    """Stop word test; with ``lang`` by the language that this column names."""
+    listed = f"list_contains({STOP_SQL}, {x})"
+    if lang:
+        cases = " ".join(f"WHEN {D.q(code)} THEN list_contains({word_list(words)}, {x})" for code, words in BY_LANGUAGE.items())
+        listed = f"CASE {lang} {cases} ELSE {listed} END"
+    return f"({listed} OR length({x}) < 3)"
 
 
 def discard(x: str) -> str:
     return f"(regexp_matches({x}, '^\\p{{N}}+$') OR (regexp_matches({x}, '\\p{{N}}') AND regexp_matches({x}, '\\p{{L}}')))"
 
 
-def tokens_cte(src: str = "documents", reach: int = 2) -> str:
+def tokens_cte(src: str = "documents", reach: int = 2, keep: str = "") -> str:
+    """``keep``: columns of ``src`` to carry along, each with a comma behind it."""
     nxt = ",\n    ".join(
         f"unnest(list_transform(range(len(toks)), lambda ni: toks[ni + {1 + d}])) AS nxt{d}"
         for d in range(1, reach + 1))
     return f"""
 tk_s AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+[ \\t\\n\\v\\f\\r]+|\\n+'),
+  SELECT doc_id, {keep}list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+[ \\t\\n\\v\\f\\r]+|\\n+'),
                              lambda sx: regexp_matches(sx, '[\\p{{L}}\\p{{N}}]')) AS sents
   FROM {src}),
-tk_s1 AS (SELECT doc_id, len(sents) AS n_sent, unnest(sents) AS sent, unnest(range(len(sents))) AS sid FROM tk_s),
+tk_s1 AS (SELECT doc_id, {keep}len(sents) AS n_sent, unnest(sents) AS sent, unnest(range(len(sents))) AS sid FROM tk_s),
 tk_b AS (
-  SELECT doc_id, n_sent, sid, unnest(blocks) AS block, unnest(range(len(blocks))) AS bid
-  FROM (SELECT doc_id, n_sent, sid, list_filter(regexp_split_to_array(sent, '[^\\p{{L}}\\p{{N}}\\s]+'),
+  SELECT doc_id, {keep}n_sent, sid, unnest(blocks) AS block, unnest(range(len(blocks))) AS bid
+  FROM (SELECT doc_id, {keep}n_sent, sid, list_filter(regexp_split_to_array(sent, '[^\\p{{L}}\\p{{N}}\\s]+'),
                                                 lambda bx: regexp_matches(bx, '[\\p{{L}}\\p{{N}}]')) AS blocks FROM tk_s1)),
-tk_b2 AS (SELECT doc_id, n_sent, sid, bid, regexp_extract_all(block, {D.q(TOKEN_RE)}) AS toks FROM tk_b),
+tk_b2 AS (SELECT doc_id, {keep}n_sent, sid, bid, regexp_extract_all(block, {D.q(TOKEN_RE)}) AS toks FROM tk_b),
 toks AS (
-  SELECT doc_id, n_sent, sid, bid, unnest(range(len(toks))) AS tid, unnest(toks) AS tok,
+  SELECT doc_id, {keep}n_sent, sid, bid, unnest(range(len(toks))) AS tid, unnest(toks) AS tok,
     {nxt}
   FROM tk_b2 WHERE len(toks) > 0)"""
 
 
-def yake_cte(top_k: int = 20, dedup: float = 0.9) -> str:
-    """Needs ``toks``; defines yake_terms, yake_edges, yake_cand, yake_kept(doc_id, kept list)."""
+def yake_cte(top_k: int = 20, dedup: float = 0.9, n: int = 3, window: int = 1, lang: bool = False, features: tuple | None = None) -> str:
+    """Needs ``toks`` (reach max(window, n - 1)); defines yake_terms, yake_edges,
+    yake_cand, yake_kept(doc_id, kept list)."""
+    keep, by = ("lang, ", "lang") if lang else ("", None)
+    has = lambda f: features is None or f in features
+    rel = """(0.5::DOUBLE + (CASE WHEN wil > 0 THEN wdl::DOUBLE / wil ELSE 0.0 END) * (tf::DOUBLE / max_tf))
+      + (0.5::DOUBLE + (CASE WHEN wir > 0 THEN wdr::DOUBLE / wir ELSE 0.0 END) * (tf::DOUBLE / max_tf))""" if has("WRel") else "1.0::DOUBLE"
+    freq = "tf::DOUBLE / (avg_tf + std_tf)" if has("WFreq") else "0.0::DOUBLE"
+    spread = "sf::DOUBLE / n_sent" if has("WSpread") else "0.0::DOUBLE"
+    case = "greatest(tf_a, tf_n)::DOUBLE / (1.0::DOUBLE + ln(tf::DOUBLE))" if has("WCase") else "0.0::DOUBLE"
+    pos = "ln(ln(3.0::DOUBLE + med))" if has("WPos") else "1.0::DOUBLE"
+    near = "\n  UNION ALL ".join(
+        f"SELECT doc_id, term AS a, lower(nxt{d}) AS b FROM yt WHERE nxt{d} IS NOT NULL AND NOT disc AND NOT {discard(f'nxt{d}')}" for d in range(1, window + 1))
+    ts = [f"t{i}" for i in range(n)]
+    word = lambda i: "term" if i == 0 else f"lower(nxt{i})"
+    grams = "\n  UNION ALL ".join(
+        "SELECT doc_id, " + keep + ", ".join(f"{word(i) if i < size else 'NULL::VARCHAR'} AS t{i}" for i in range(n)) + " FROM yt"
+        + (f" WHERE nxt{size - 1} IS NOT NULL" if size > 1 else "") for size in range(1, n + 1))
+    last = f"coalesce({', '.join(reversed(ts))})" if n > 1 else "t0"
+    clean = " AND ".join(f"({t} IS NULL OR NOT {discard(t)})" for t in ts)
+    cols = ", ".join([f"a{i}.H AS h{i}, a{i}.stop AS s{i}, a{i}.tf AS tf{i}" for i in range(n)] + [f"e{i}.w AS w{i}" for i in range(n - 1)])
+    joins = "\n  ".join([f"LEFT JOIN yake_terms a{i} ON a{i}.doc_id = c.doc_id AND a{i}.term = c.t{i}" for i in range(n)]
+                   + [f"LEFT JOIN yake_edges e{i} ON e{i}.doc_id = c.doc_id AND e{i}.a = c.t{i} AND e{i}.b = c.t{i + 1}" for i in range(n - 1)])
+    prod, total = "1.0::DOUBLE", "0.0::DOUBLE"
+    for i in range(n):
+        factor = addend = f"h{i}"
+        if 0 < i < n - 1:
+            p = f"((coalesce(w{i - 1}, 0)::DOUBLE / tf{i - 1}) * (coalesce(w{i}, 0)::DOUBLE / tf{i + 1}))"
+            factor = f"CASE WHEN s{i} THEN 1.0::DOUBLE + (1.0::DOUBLE - {p}) ELSE h{i} END"
+            addend = f"CASE WHEN s{i} THEN -(1.0::DOUBLE - {p}) ELSE h{i} END"
+        prod = f"{prod} * (CASE WHEN t{i} IS NULL THEN 1.0::DOUBLE ELSE {factor} END)"
+        total = f"{total} + (CASE WHEN t{i} IS NULL THEN 0.0::DOUBLE ELSE {addend} END)"
     return f"""
 yt AS (
-  SELECT doc_id, n_sent, sid, bid, tid, tok, lower(tok) AS term, lower(nxt1) AS nxt, nxt2,
-         {discard('tok')} AS disc, coalesce({discard('nxt1')}, false) AS nxt_disc
-  FROM toks),
+  SELECT doc_id, {keep}n_sent, sid, bid, tid, tok, lower(tok) AS term, {discard('tok')} AS disc, COLUMNS('^nxt') FROM toks),
 yt2 AS (
   SELECT *, (regexp_matches(tok, '^\\p{{Lu}}+$') AND NOT disc) AS tag_a FROM yt),
 yt3 AS (
   SELECT *, (regexp_matches(tok, '^\\p{{Lu}}') AND NOT tag_a AND NOT disc AND NOT (bid = 0 AND tid = 0)) AS tag_n FROM yt2),
 y_ps AS (
-  SELECT doc_id, term, sid, count(*) AS c, sum(tag_a::INT) AS a, sum(tag_n::INT) AS n, any_value(n_sent) AS n_sent
-  FROM yt3 GROUP BY doc_id, term, sid),
+  SELECT doc_id, {keep}term, sid, count(*) AS c, sum(tag_a::INT) AS a, sum(tag_n::INT) AS n, any_value(n_sent) AS n_sent
+  FROM yt3 GROUP BY doc_id, {keep}term, sid),
 y_st AS (
-  SELECT doc_id, term, sum(c) AS tf, sum(a) AS tf_a, sum(n) AS tf_n, count(*) AS sf,
+  SELECT doc_id, {keep}term, sum(c) AS tf, sum(a) AS tf_a, sum(n) AS tf_n, count(*) AS sf,
          median(sid)::DOUBLE AS med, any_value(n_sent) AS n_sent
-  FROM y_ps GROUP BY doc_id, term),
-yake_edges AS (
-  SELECT doc_id, term AS a, nxt AS b, count(*) AS w FROM yt
-  WHERE nxt IS NOT NULL AND NOT disc AND NOT nxt_disc GROUP BY doc_id, term, nxt),
+  FROM y_ps GROUP BY doc_id, {keep}term),
+yake_edges AS (SELECT doc_id, a, b, count(*) AS w FROM (
+  {near}) GROUP BY doc_id, a, b),
 y_r AS (SELECT doc_id, a AS term, count(*) AS wdr, sum(w) AS wir FROM yake_edges GROUP BY doc_id, a),
 y_l AS (SELECT doc_id, b AS term, count(*) AS wdl, sum(w) AS wil FROM yake_edges GROUP BY doc_id, b),
 y_j AS (
-  SELECT s.*, l.wdl, l.wil, r.wdr, r.wir, {stop('s.term')} AS stop
+  SELECT s.*, l.wdl, l.wil, r.wdr, r.wir, {stop('s.term', by and 's.lang')} AS stop
   FROM y_st s LEFT JOIN y_l l USING (doc_id, term) LEFT JOIN y_r r USING (doc_id, term)),
 y_w AS (
   SELECT *, max(tf) OVER (PARTITION BY doc_id) AS max_tf,
@@ -83,46 +120,19 @@ y_w AS (
          stddev_pop(CASE WHEN NOT stop THEN tf END) OVER (PARTITION BY doc_id) AS std_tf
   FROM y_j),
 y_f AS (
-  SELECT doc_id, term, tf, stop,
-    (0.5::DOUBLE + (CASE WHEN wil > 0 THEN wdl::DOUBLE / wil ELSE 0.0 END) * (tf::DOUBLE / max_tf))
-      + (0.5::DOUBLE + (CASE WHEN wir > 0 THEN wdr::DOUBLE / wir ELSE 0.0 END) * (tf::DOUBLE / max_tf)) AS rel,
-    tf::DOUBLE / (avg_tf + std_tf) AS freq, sf::DOUBLE / n_sent AS spread,
-    greatest(tf_a, tf_n)::DOUBLE / (1.0::DOUBLE + ln(tf::DOUBLE)) AS tcase,
-    ln(ln(3.0::DOUBLE + med)) AS tpos
+  SELECT doc_id, term, tf, stop, {rel} AS rel, {freq} AS freq, {spread} AS spread, {case} AS tcase, {pos} AS tpos
   FROM y_w),
 yake_terms AS (
   SELECT doc_id, term, tf, stop, (tpos * rel) / (tcase + (freq / rel) + (spread / rel)) AS H FROM y_f),
 y_g AS (
-  SELECT doc_id, term AS t0, NULL::VARCHAR AS t1, NULL::VARCHAR AS t2 FROM yt
-  UNION ALL SELECT doc_id, term, nxt, NULL FROM yt WHERE nxt IS NOT NULL
-  UNION ALL SELECT doc_id, term, nxt, lower(nxt2) FROM yt WHERE nxt2 IS NOT NULL),
+  {grams}),
 y_gv AS (
-  SELECT * FROM y_g
-  WHERE NOT {stop('t0')} AND NOT {stop('coalesce(t2, t1, t0)')}
-    AND NOT {discard('t0')} AND (t1 IS NULL OR NOT {discard('t1')}) AND (t2 IS NULL OR NOT {discard('t2')})),
-y_c AS (SELECT doc_id, t0, t1, t2, count(*) AS ctf FROM y_gv GROUP BY doc_id, t0, t1, t2),
-y_cj AS (
-  SELECT c.*, a.H AS h0, a.stop AS s0, a.tf AS tf0, b.H AS h1, b.stop AS s1, b.tf AS tf1,
-         d.H AS h2, d.stop AS s2, d.tf AS tf2, e0.w AS w0, e1.w AS w1
-  FROM y_c c
-  LEFT JOIN yake_terms a ON a.doc_id = c.doc_id AND a.term = c.t0
-  LEFT JOIN yake_terms b ON b.doc_id = c.doc_id AND b.term = c.t1
-  LEFT JOIN yake_terms d ON d.doc_id = c.doc_id AND d.term = c.t2
-  LEFT JOIN yake_edges e0 ON e0.doc_id = c.doc_id AND e0.a = c.t0 AND e0.b = c.t1
-  LEFT JOIN yake_edges e1 ON e1.doc_id = c.doc_id AND e1.a = c.t1 AND e1.b = c.t2),
-y_p AS (
-  SELECT *,
-    CASE WHEN t2 IS NOT NULL THEN (coalesce(w0, 0)::DOUBLE / tf0) * (coalesce(w1, 0)::DOUBLE / tf2) ELSE 0.0 END AS prob
-  FROM y_cj),
+  SELECT * FROM y_g WHERE NOT {stop('t0', by)} AND NOT {stop(last, by)} AND {clean}),
+y_c AS (SELECT doc_id, {', '.join(ts)}, count(*) AS ctf FROM y_gv GROUP BY doc_id, {', '.join(ts)}),
+y_cj AS (SELECT c.*, {cols} FROM y_c c
+  {joins}),
 y_sc AS (
-  SELECT doc_id, concat_ws(' ', t0, t1, t2) AS phrase,
-    (CASE WHEN t2 IS NULL THEN (CASE WHEN t1 IS NULL THEN 1.0::DOUBLE * h0 ELSE 1.0::DOUBLE * h0 * h1 END)
-          WHEN s1 THEN 1.0::DOUBLE * h0 * (1.0::DOUBLE + (1.0::DOUBLE - prob)) * h2
-          ELSE 1.0::DOUBLE * h0 * h1 * h2 END)
-    / (((CASE WHEN t2 IS NULL THEN (CASE WHEN t1 IS NULL THEN 0.0::DOUBLE + h0 ELSE 0.0::DOUBLE + h0 + h1 END)
-          WHEN s1 THEN 0.0::DOUBLE + h0 - (1.0::DOUBLE - prob) + h2
-          ELSE 0.0::DOUBLE + h0 + h1 + h2 END) + 1.0::DOUBLE) * ctf) AS score
-  FROM y_p),
+  SELECT doc_id, concat_ws(' ', {', '.join(ts)}) AS phrase, ({prod}) / ((({total}) + 1.0::DOUBLE) * ctf) AS score FROM y_cj),
 y_rk AS (
   SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12), phrase) AS rk
   FROM y_sc),

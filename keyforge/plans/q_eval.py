@@ -43,7 +43,7 @@ _RT = O.rouge_tokens("ref")
 t AS (SELECT doc_id, {_PT} AS pt, {_RT} AS rt FROM kw_pairs)
 SELECT doc_id, round({O.rouge1('pt', 'rt')}, 6) AS rouge1, round({O.rougeL('pt', 'rt')}, 6) AS rougeL FROM t""")
 def agg2_agg3_rouge_per_doc(spark, sf):
-    r = M.rouge_per_doc(_pairs(spark, sf), keep=["doc_id"])
+    r = M.rouge_per_doc(_pairs(spark, sf), keep=["doc_id"], use_stemmer=False)
     return r.select("doc_id", r6("rouge1").alias("rouge1"), r6("rougeL").alias("rougeL"))
 
 
@@ -55,7 +55,7 @@ SELECT round(sum(r1) / greatest(count(*), 1), 6) AS rouge1, round(sum(rl) / grea
        greatest(count(*), 1)::BIGINT AS count
 FROM s""")
 def agg4_rouge_scores(spark, sf):
-    r = M.rouge_scores(_pairs(spark, sf))
+    r = M.rouge_scores(_pairs(spark, sf), use_stemmer=False)
     return r.select(r6("rouge1").alias("rouge1"), r6("rougeL").alias("rougeL"),
                     r6("rouge_avg").alias("rouge_avg"), F.col("count").cast("bigint").alias("count"))
 
@@ -128,6 +128,47 @@ SELECT round(s1 / greatest(n, 1), 6) AS rouge1, round(sl / greatest(n, 1), 6) AS
 FROM ag""")
 def agg7_evaluation_report(spark, sf):
     """AGG7: ROUGE means and micro set-F1 of one prediction table, one row."""
+    r = M.evaluation_report(_pairs(spark, sf), use_stemmer=False)
+    return r.select(*[r6(c).alias(c) for c in ("rouge1", "rougeL", "rouge_avg", "precision", "recall", "f1")],
+                    F.col("count").cast("bigint").alias("count"))
+
+
+STEMMED_SQL = "WITH " + O.kw_pairs_cte() + f""",
+tk AS (SELECT doc_id, pred, ref, {_PT} AS pt, {_RT} AS rt FROM kw_pairs),""" + O.stemmed_tokens("tk")
+
+
+@register("agg5_rouge_stemmed_per_doc", STEMMED_SQL + f"""
+SELECT doc_id, round({O.rouge1('pt', 'rt')}, 6) AS rouge1, round({O.rougeL('pt', 'rt')}, 6) AS rougeL FROM stemmed""")
+def agg5_rouge_stemmed_per_doc(spark, sf):
+    """AGG5: ROUGE of stems, per document."""
+    r = M.rouge_per_doc(_pairs(spark, sf), keep=["doc_id"])
+    return r.select("doc_id", r6("rouge1").alias("rouge1"), r6("rougeL").alias("rougeL"))
+
+
+@register("agg5_rouge_stemmed", STEMMED_SQL + f""",
+s AS (SELECT {O.rouge1('pt', 'rt')} AS r1, {O.rougeL('pt', 'rt')} AS rl FROM stemmed)
+SELECT round(sum(r1) / greatest(count(*), 1), 6) AS rouge1, round(sum(rl) / greatest(count(*), 1), 6) AS rougeL,
+       round((sum(r1) + sum(rl)) / (2 * greatest(count(*), 1)), 6) AS rouge_avg, greatest(count(*), 1)::BIGINT AS count
+FROM s""")
+def agg5_rouge_stemmed(spark, sf):
+    """AGG4 with the reference's default, stemming."""
+    r = M.rouge_scores(_pairs(spark, sf))
+    return r.select(r6("rouge1").alias("rouge1"), r6("rougeL").alias("rougeL"),
+                    r6("rouge_avg").alias("rouge_avg"), F.col("count").cast("bigint").alias("count"))
+
+
+@register("agg7_evaluation_report_stemmed", STEMMED_SQL + f""",
+sc AS (SELECT {_TP} AS tp, {_FP} AS fp, {_FN} AS fn, {O.rouge1('pt', 'rt')} AS r1, {O.rougeL('pt', 'rt')} AS rl FROM stemmed),
+ag AS (SELECT sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(r1) AS s1, sum(rl) AS sl, count(*) AS n FROM sc)
+SELECT round(s1 / greatest(n, 1), 6) AS rouge1, round(sl / greatest(n, 1), 6) AS rougeL,
+       round((s1 + sl) / (2 * greatest(n, 1)), 6) AS rouge_avg,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+       round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 6) AS f1,
+       greatest(n, 1)::BIGINT AS count
+FROM ag""")
+def agg7_evaluation_report_stemmed(spark, sf):
+    """AGG7 with the reference's default, stemming."""
     r = M.evaluation_report(_pairs(spark, sf))
     return r.select(*[r6(c).alias(c) for c in ("rouge1", "rougeL", "rouge_avg", "precision", "recall", "f1")],
                     F.col("count").cast("bigint").alias("count"))

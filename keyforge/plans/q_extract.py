@@ -28,14 +28,46 @@ def tok1_token_table(spark, sf):
         F.count("nxt2").alias("n_trigrams"))
 
 
-@register("yak1_yake_extract", "WITH " + tokens_cte() + "," + yake_cte() + f"""
+_YAKE_LISTS = f"""
 SELECT d.doc_id, {D.show_list(D.postprocess('coalesce(k.kept, []::VARCHAR[])'))} AS keywords
-FROM documents d LEFT JOIN yake_kept k USING (doc_id)""")
+FROM documents d LEFT JOIN yake_kept k USING (doc_id)"""
+
+
+@register("yak1_yake_extract", "WITH " + tokens_cte() + "," + yake_cte() + _YAKE_LISTS)
 def yak1_yake_extract(spark, sf):
     kw = Y.extract(docs_by_id(spark, sf))
     return kw.select("doc_id", show_list("keywords").alias("keywords"))
 
 
+@register("yak3_window_2", "WITH " + tokens_cte() + "," + yake_cte(window=2) + _YAKE_LISTS)
+def yak3_window_2(spark, sf):
+    """YAK1 / YAK3 with neighbours up to two tokens away."""
+    kw = Y.extract(docs_by_id(spark, sf), Y.YakeConfig(window_size=2))
+    return kw.select("doc_id", show_list("keywords").alias("keywords"))
+
+
+@register("yak1_four_languages", "WITH " + tokens_cte(keep="lang, ") + "," + yake_cte(lang=True) + _YAKE_LISTS)
+def yak1_four_languages(spark, sf):
+    """YAK1 with the stop words of each document's own language."""
+    docs = by_doc(documents(spark, sf, ("doc_id", "text", "lang")))
+    kw = Y.extract(docs, Y.YakeConfig(language_col="lang"))
+    return kw.select("doc_id", show_list("keywords").alias("keywords"))
+
+
+@register("yak4_chosen_features", "WITH " + tokens_cte() + "," + yake_cte(features=("WFreq", "WSpread", "WPos")) + _YAKE_LISTS)
+def yak4_chosen_features(spark, sf):
+    """YAK1 / YAK4 with three of the five features."""
+    kw = Y.extract(docs_by_id(spark, sf), Y.YakeConfig(features=("WFreq", "WSpread", "WPos")))
+    return kw.select("doc_id", show_list("keywords").alias("keywords"))
+
+
+@register("yak5_four_word_phrases", "WITH " + tokens_cte(reach=3) + "," + yake_cte(n=4, window=3) + _YAKE_LISTS)
+def yak5_four_word_phrases(spark, sf):
+    """YAK5 with phrases of up to four words and a window of three."""
+    kw = Y.extract(docs_by_id(spark, sf), Y.YakeConfig(max_ngram_size=4, window_size=3))
+    return kw.select("doc_id", show_list("keywords").alias("keywords"))
+
+
 # --- KeyBERT -----------------------------------------------------------------
 
 from keyforge.operators import keybert as KB  # noqa: E402
@@ -123,15 +155,49 @@ def key4b_word2vec_mmr(spark, sf):
     return r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_picked"))
 
 
-@register("key6_maxsum")
-def key6_maxsum(spark, sf):
-    """KEY6: Max Sum Similarity, 5 of the 10 best candidates per document."""
-    c = KB.tfidf_candidates(docs_by_id(spark, sf), KB.KeyBertConfig())
-    r = KB.maxsum_select(c, 5, 10)
+_MS_TOP = """kb_top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, phrase) AS rk FROM kb_cand QUALIFY rk <= {n})"""
+
+
+def _maxsum(spark, sf, top_n: int, nr: int):
+    cfg = KB.KeyBertConfig(use_mmr=False, use_maxsum=True, top_k=top_n, nr_candidates=nr)
+    r = KB.ranked_keyphrases(docs_by_id(spark, sf), cfg)
     return (r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
             .select("doc_id", show_list(F.col("s.phrase")).alias("keywords")))
 
 
+_FIVE = ["c1", "c2", "c3", "c4", "c5"]
+
+
+@register("key6_maxsum", "WITH " + OX.kb_candidates_cte() + "," + _MS_TOP.format(n=10) + f""",
+kb_pair AS (SELECT a.doc_id, a.rk AS i, b.rk AS j, round({OX.term_pair_sim('a', 'b')} * 1000000000000)::BIGINT AS s
+            FROM kb_top a JOIN kb_top b ON a.doc_id = b.doc_id AND a.rk < b.rk),
+size AS (SELECT doc_id, max(rk) AS n FROM kb_top GROUP BY doc_id),
+r AS (SELECT unnest(range(1, 11)) AS x),
+combo AS (SELECT {', '.join(f'r{k}.x AS c{k}' for k in range(1, 6))} FROM r r1, r r2, r r3, r r4, r r5
+          WHERE r1.x < r2.x AND r2.x < r3.x AND r3.x < r4.x AND r4.x < r5.x),
+cost AS (SELECT p.doc_id, {', '.join(_FIVE)}, sum(s) AS cost FROM combo JOIN kb_pair p ON i IN ({', '.join(_FIVE)}) AND j IN ({', '.join(_FIVE)})
+         JOIN size USING (doc_id) WHERE c5 <= n GROUP BY p.doc_id, {', '.join(_FIVE)}),
+best AS (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cost, {', '.join(_FIVE)}) = 1)
+SELECT b.doc_id, string_agg(t.phrase, ' | ' ORDER BY t.rk) AS keywords
+FROM best b JOIN kb_top t ON t.doc_id = b.doc_id AND t.rk IN ({', '.join(_FIVE)}) GROUP BY b.doc_id""")
+def key6_maxsum(spark, sf):
+    """KEY6: Max Sum Similarity, 5 of the 10 best candidates per document."""
+    return _maxsum(spark, sf, 5, 10)
+
+
+@register("key6_maxsum_default", "WITH " + OX.kb_candidates_cte() + "," + _MS_TOP.format(n=20) + """
+SELECT doc_id, string_agg(phrase, ' | ' ORDER BY rk) AS keywords FROM kb_top GROUP BY doc_id HAVING count(*) = 20""")
+def key6_maxsum_default(spark, sf):
+    """KEY6 with the reference's defaults: 20 of the 20 best candidates."""
+    return _maxsum(spark, sf, 20, 20)
+
+
+@register("key6_maxsum_10_of_30")
+def key6_maxsum_10_of_30(spark, sf):
+    """KEY6 where subsets cannot be listed (30 million per document); tests hold it against bounds and enumeration."""
+    return _maxsum(spark, sf, 10, 30)
+
+
 @register("yak2_yak3_term_statistics", "WITH " + tokens_cte() + "," + yake_cte() + """
 SELECT j.doc_id, count(*) AS n_terms, sum(j.tf)::BIGINT AS sum_tf, sum(j.sf)::BIGINT AS sum_sf,
        round(sum(j.med), 6) AS sum_median, sum(coalesce(j.wdl, 0))::BIGINT AS sum_wdl,

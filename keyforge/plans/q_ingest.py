@@ -1,5 +1,5 @@
-"""Registered queries: pairing of document and key tables (JOIN1, SRC2c,
-SRC2d, SET1) in table form.  Every document has a text side; key files
+"""Registered queries: listing, pairing and concatenation of document and key
+tables (SRC2, JOIN1, SRC2c, SRC2d, SET1) in table form.  Every document has a text side; key files
 exist for the labelled documents only, so counts differ per dataset."""
 
 from __future__ import annotations
@@ -67,3 +67,25 @@ def join1_stem_pairs(spark, sf):
     j = a.join(b, "dataset", "full")
     return j.select("dataset", F.coalesce("n_paired", F.lit(0)).alias("n_paired"),
                     F.coalesce("n_unmatched", F.lit(0)).alias("n_unmatched"))
+
+
+@register("src2_manifest", "WITH " + SIDES_SQL + """
+SELECT tr.dataset, tr.rn::BIGINT AS rn, tr.name AS txt_name, kr.name AS key_name
+FROM tr JOIN kr USING (dataset, rn) WHERE tr.rn <= 40""")
+def src2_manifest(spark, sf):
+    """SRC2 / SRC2c: which files are read, from their names alone."""
+    txt, key = _sides(spark, sf)
+    m = IG.manifest(txt.select("dataset", "name"), key.select("dataset", "name"), 40)
+    return m.select("dataset", F.col("rn").cast("bigint").alias("rn"), "txt_name", "key_name")
+
+
+@register("set1_concatenated", "WITH " + SIDES_SQL + """
+SELECT tr.dataset, md5(tr.text) AS text_md5, md5(kr.key) AS key_md5
+FROM tr JOIN kr USING (dataset, rn) WHERE tr.rn <= least(tr.n_txt, kr.n_key, 1000)""")
+def set1_concatenated(spark, sf):
+    """SET1: the tables of two lists of datasets (those whose names sort before
+    src15, and the others), each paired by itself, as one."""
+    txt, key = _sides(spark, sf)
+    early = F.col("dataset") < "src15"
+    parts = [IG.pair_positional(txt.where(side), key.where(side), 1000) for side in (early, ~early)]
+    return IG.concatenated(*parts).select("dataset", F.md5("text").alias("text_md5"), F.md5("key").alias("key_md5"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -90,3 +91,12 @@ def cut_lineage(df):
     tolerant (no lineage replay after an executor loss) and cheap to plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str = "table"):
+    """``df`` as Parquet in the session's shared checkpoint folder, read again.
+    Unlike a cache it never changes after the loss of an executor, its columns
+    can be pruned, and AQE can split its skewed partitions in a join."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,59 +1,115 @@
-"""Corpus ingest and sinks: SRC2 pair files, JOIN1 pairing, SNK1-SNK3.
-
-``read_pair_files`` reads ``<root>/<Dataset>/docsutf8/*.txt`` and
-``<root>/<Dataset>/keys/*.key`` from any Hadoop file system path (local,
-HDFS, ``s3a://``) with the ``binaryFile`` source, in parallel per file.
-Pairing is positional within a dataset (the reference's behaviour, Q16) or
-by file stem.  Per-dataset positions come from a distributed rank, so a
-dataset holding a third of all files is not ranked in one task.
+"""Corpus ingest and sinks: SRC2 pair files, JOIN1 pairing, SET1, SNK1-SNK3.
+
+The folders ``<root>/<folder>/docsutf8/*.txt`` and ``<root>/<folder>/keys/*.key``
+of each named dataset are first *listed* (paths only, from any Hadoop file
+system: local, HDFS, ``s3a://``).  The listing is a table: it is ranked by name
+within each dataset, capped and paired (by position, the reference's behaviour,
+Q16, or by file stem).  This manifest decides which bodies are wanted; only
+those files are read.  Ranks come from a written rank index, so a dataset
+holding a third of all files is not ranked in one task, and no body takes part
+in a sort.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyforge.functions.text import strip
-from keyforge.operators.splits import exact_rank
-
-
-def _files(spark: SparkSession, root: str, sub: str, ext: str) -> DataFrame:
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}")  # SRC2a
-           .option("recursiveFileLookup", "true").load(root))
-    path = F.col("path")
-    # <root>/<Dataset>/<sub>/<name>.<ext>: dataset folder and the name below <sub>.
-    rel = F.regexp_extract(path, rf"/([^/]+)/{sub}/(.+)\.{ext}$", 0)
-    return (raw.where(rel != "")
-            .select(F.regexp_extract(path, rf"/([^/]+)/{sub}/(.+)\.{ext}$", 1).alias("dataset"),
-                    F.regexp_extract(path, rf"/([^/]+)/{sub}/(.+)\.{ext}$", 2).alias("name"),
-                    strip(F.decode("content", "UTF-8")).alias("body")))  # SRC2b
-
-
-def read_pair_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """SRC2: (dataset, name, text) and (dataset, name, key) tables."""
-    txt = _files(spark, root, "docsutf8", "txt").withColumnRenamed("body", "text")
-    key = _files(spark, root, "keys", "key").withColumnRenamed("body", "key")
-    return txt, key
-
-
-def _ranked(df: DataFrame) -> DataFrame:
-    """Rank of every file within its dataset by name (distributed)."""
-    g = exact_rank(df, ["dataset", "name"], "g")
-    starts = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select("dataset", "n", (F.sum("n").over(Window.orderBy("dataset")) - F.col("n")).alias("off"))
-    # One row per dataset: a proven small table.
-    return g.join(F.broadcast(starts), "dataset").select("*", (F.col("g") - F.col("off")).alias("rn")).drop("g", "off")
+from keyforge.operators.splits import rank_index
+from keyforge.session import written
+
+#: The datasets of the reference's curation notebook: fixed values, name to folder.
+DATASETS = {"inspec": "Inspec", "krapivin": "Krapivin2009", "pubmet": "PubMed", "www": "www"}
+#: Rows of a per-dataset table up to which it is broadcast.
+BROADCAST_DATASETS = 100_000
+
+
+def list_files(spark: SparkSession, root: str, sub: str, ext: str, datasets: Mapping[str, str] | None = None) -> DataFrame:
+    """SRC2a: (dataset, name, path) of the files below ``<root>/<folder>/<sub>``;
+    no content is read.  ``datasets`` names the folders to take; without it
+    every folder is a dataset of its own name."""
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}")
+           .option("recursiveFileLookup", "true").load(root).select("path"))
+    parts = rf"/([^/]+)/{sub}/(.+)\.{ext}$"
+    files = raw.where(F.col("path").rlike(parts)).select(
+        F.regexp_extract("path", parts, 1).alias("folder"), F.regexp_extract("path", parts, 2).alias("name"), "path")
+    if datasets is None:
+        return files.withColumnRenamed("folder", "dataset")
+    named = F.element_at(F.create_map(*(F.lit(x) for pair in ((f, d) for d, f in datasets.items()) for x in pair)), F.col("folder"))
+    return files.where(F.col("folder").isin(list(datasets.values()))).select(named.alias("dataset"), "name", "path")
+
+
+def read_bodies(spark: SparkSession, files: DataFrame, out: str) -> DataFrame:
+    """SRC2b: ``files`` with the stripped UTF-8 content of their ``path`` as
+    ``out``.  The wanted paths go to the reader, which opens no other file;
+    their number is bounded by the cap per dataset of the manifest."""
+    wanted = [r.path for r in files.select("path").toLocalIterator()]
+    if not wanted:
+        return files.withColumn(out, F.lit(None).cast("string"))
+    # commas part the paths of one load call; braces and the like are globs there
+    escaped = [_literal(p) for p in wanted]
+    raw = spark.read.format("binaryFile").load(escaped).select("path", strip(F.decode("content", "UTF-8")).alias(out))
+    return files.join(raw, "path")
+
+
+def _literal(path: str) -> str:
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
+def read_pair_files(spark: SparkSession, root: str, datasets: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC2 without pairing: (dataset, name, text) and (dataset, name, key) of all listed files."""
+    def side(sub: str, ext: str, out: str) -> DataFrame:
+        files = list_files(spark, root, sub, ext, datasets)
+        raw = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", "true")
+               .load(root).select("path", strip(F.decode("content", "UTF-8")).alias(out)))
+        return files.join(raw, "path").drop("path")
+
+    return side("docsutf8", "txt", "text"), side("keys", "key", "key")
+
+
+def _ranked(files: DataFrame) -> DataFrame:
+    """(dataset, name, n, rn): every file's place within its dataset by name
+    (distributed), and the dataset's size."""
+    names = files.select("dataset", "name")
+    g = rank_index(names, ["dataset", "name"], ["dataset", "name"], "g")
+    starts = written(g.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), (F.min("g") - 1).alias("off")), "datasets")
+    small = starts.count() <= BROADCAST_DATASETS
+    return (g.join(F.broadcast(starts) if small else starts, "dataset")
+            .select("dataset", "name", "n", (F.col("g") - F.col("off")).alias("rn")))
+
+
+def manifest(txt: DataFrame, key: DataFrame, max_per_dataset: int = 1000) -> DataFrame:
+    """JOIN1 + SRC2c on listings: (dataset, rn, txt_name, key_name) of the i-th
+    ``.txt`` and the i-th ``.key`` of a dataset in name order, for
+    i <= min(n_txt, n_key, max_per_dataset).  Both sides are cut to the cap
+    before they meet."""
+    t = _ranked(txt).where(F.col("rn") <= max_per_dataset).select("dataset", "rn", F.col("name").alias("txt_name"))
+    k = _ranked(key).where(F.col("rn") <= max_per_dataset).select("dataset", "rn", F.col("name").alias("key_name"))
+    return t.join(k, ["dataset", "rn"])
 
 
 def pair_positional(txt: DataFrame, key: DataFrame, max_per_dataset: int = 1000) -> DataFrame:
-    """JOIN1 + SRC2c: pair the i-th ``.txt`` with the i-th ``.key`` of a
-    dataset in name order, for i <= min(n_txt, n_key, max_per_dataset).
-    Returns (dataset, rn, txt_name, key_name, text, key)."""
-    t = _ranked(txt).withColumnRenamed("n", "n_txt").withColumnRenamed("name", "txt_name")
-    k = _ranked(key).withColumnRenamed("n", "n_key").withColumnRenamed("name", "key_name")
-    j = t.join(k, ["dataset", "rn"])
-    cap = F.least(F.col("n_txt"), F.col("n_key"), F.lit(max_per_dataset))
-    return j.where(F.col("rn") <= cap).select("dataset", "rn", "txt_name", "key_name", "text", "key")
+    """JOIN1 + SRC2c on tables that hold the bodies: the manifest of their
+    names, then the bodies of the chosen rows.  Returns (dataset, rn,
+    txt_name, key_name, text, key)."""
+    m = manifest(txt, key, max_per_dataset)
+    t = txt.select("dataset", F.col("name").alias("txt_name"), "text")
+    k = key.select("dataset", F.col("name").alias("key_name"), "key")
+    return m.join(t, ["dataset", "txt_name"]).join(k, ["dataset", "key_name"]).select("dataset", "rn", "txt_name", "key_name", "text", "key")
+
+
+def ingest(spark: SparkSession, root: str, datasets: Mapping[str, str] | None = None, max_per_dataset: int = 1000) -> DataFrame:
+    """SRC2: (dataset, rn, txt_name, key_name, text, key) of the paired files of
+    the named datasets; files that the manifest leaves out are not opened."""
+    txt, key = list_files(spark, root, "docsutf8", "txt", datasets), list_files(spark, root, "keys", "key", datasets)
+    m = written(manifest(txt, key, max_per_dataset), "manifest")
+    for name, files, out in (("txt_name", txt, "text"), ("key_name", key, "key")):
+        chosen = m.select("dataset", name).join(files.withColumnRenamed("name", name), ["dataset", name])
+        m = m.join(read_bodies(spark, chosen, out).select("dataset", name, out), ["dataset", name])
+    return m.select("dataset", "rn", "txt_name", "key_name", "text", "key")
 
 
 def pair_by_stem(txt: DataFrame, key: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,9 +136,12 @@ def pair_report(txt: DataFrame, key: DataFrame, max_per_dataset: int = 1000) ->
                     (pairs == 0).alias("skipped"), (n_txt != n_key).alias("count_mismatch"))
 
 
-def to_raw_table(pairs: DataFrame) -> DataFrame:
-    """SET1: the concatenated (text, key, dataset) table of all datasets."""
-    return pairs.select("text", "key", "dataset")
+def concatenated(*pairs: DataFrame) -> DataFrame:
+    """SET1: the (text, key, dataset) table of all datasets, one below another."""
+    out = pairs[0].select("text", "key", "dataset")
+    for p in pairs[1:]:
+        out = out.unionByName(p.select("text", "key", "dataset"))
+    return out
 
 
 def write_parquet_gzip(df: DataFrame, path: str, mode: str = "overwrite") -> None:
