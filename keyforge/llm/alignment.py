@@ -51,9 +51,10 @@ ship(__name__)
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Bytes of one range, neighbours composed at once, links held at once.
-RANGE_BYTES, FAN_IN, LINKS_AT_ONCE = 32_768, 16, 1_000_000
+RANGE_BYTES, FAN_IN, LINKS_AT_ONCE = 32_768, 16, 500_000
 #: A block: rows, and bytes of text.
-BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 1 << 20
+ROW_GROUP_BYTES = 16 << 20
 WHOLE, PIECE, PAIRS = 0, 1, 2
 
 
@@ -355,11 +356,20 @@ def _whole_rows(aligner: Aligner, block: str, doc_id: pa.Array, row: pa.Array, f
             "pairs": pa.ListArray.from_arrays(one, pa.array(distinct, pa.int64())), "docs": pa.ListArray.from_arrays(one, pa.array(docs, pa.int64()))})
 
 
+def _aligner(shared) -> Aligner:
+    """The aligner of a worker process: built by its first task, kept beside the
+    broadcast vocabularies for the others."""
+    kept = shared.value
+    if "aligner" not in kept:
+        kept["aligner"] = Aligner(kept["byte_level"], kept["pieces"])
+    return kept["aligner"]
+
+
 def _aligned_blocks(ranges: DataFrame, shared, mark: str) -> DataFrame:
     """Fragments of all ranges; those of documents with one range are whole and closed here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*shared.value)
+        aligner = _aligner(shared)
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
@@ -397,7 +407,7 @@ def _closed(fragments: DataFrame, shared, mark: str) -> DataFrame:
     """Whole documents from composed fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*shared.value)
+        aligner = _aligner(shared)
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
@@ -429,10 +439,12 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str =
     folder = f"{ensure_checkpoint_dir(spark)}/alignment-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        # small row groups: the writer holds one of them per task
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    shared = spark.sparkContext.broadcast((read_byte_level(byte_level_path), read_model(piece_path)))
+    vocabularies = {"byte_level": read_byte_level(byte_level_path), "pieces": read_model(piece_path)}
+    shared = spark.sparkContext.broadcast(vocabularies)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     full = docs.where(F.length("text") > 0)
     size = F.octet_length("text") + 1
@@ -452,7 +464,7 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str =
     block_pairs = rows.where(F.col("kind") == PAIRS).select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("place", "p")) \
         .select("block", "place", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
     counts = block_pairs.groupBy("pair").agg(F.sum("docs").alias("docs"))
-    counts = kept(counts.withColumn("a", F.expr(f"pair div {len(shared.value[1])}")), "counts")
+    counts = kept(counts.withColumn("a", F.expr(f"pair div {len(vocabularies['pieces'])}")), "counts")
     best = counts.groupBy("a").agg(F.max("docs").alias("most"))
     counts = counts.join(best, "a").select("pair", F.col("docs").alias("count"), (F.col("docs") == F.col("most")).alias("best"))
     back = block_pairs.select(F.col("block").alias("home"), "place", "pair").join(counts, "pair").select("home", "place", "count", "best")

@@ -179,7 +179,15 @@ class PieceModel:
 
 def shared_model(spark: SparkSession, path: str):
     """The pieces, read once on the driver and broadcast; their size is that of one vocabulary."""
-    return spark.sparkContext.broadcast(read_model(path))
+    return spark.sparkContext.broadcast({"pieces": read_model(path)})
+
+
+def _model(shared) -> PieceModel:
+    """The model of a worker process: built by its first task, kept beside the broadcast pieces for the others."""
+    kept = shared.value
+    if "model" not in kept:
+        kept["model"] = PieceModel(kept["pieces"])
+    return kept["model"]
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", n_col: str = "n_tokens", decoded_col: str | None = None) -> DataFrame:
@@ -194,7 +202,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "tok
     schema = T.StructType([df.schema[c] for c in kept] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(shared.value)
+        model = _model(shared)
         for batch in batches:
             ids, n = model.encode(batch.column(text_col))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
@@ -214,7 +222,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", out_col: str =
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(shared.value)
+        model = _model(shared)
         for batch in batches:
             lists = batch.column(ids_col)
             n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
