@@ -7,8 +7,16 @@ in a defined order, applies a Fisher-Yates shuffle (Spark's ``shuffle``, which
 swaps in place with a seeded generator; bucket b lies in partition b, so its
 generator is the same in every run) and writes it.  Buckets laid end to end
 are one uniform permutation.  Shard s takes positions [s*N/S, (s+1)*N/S): the
-``rows`` law, counts at most one apart.  Bucket offsets are prefix sums in two
-steps, over groups of buckets and over at most ``GROUPS`` group totals.
+``rows`` law, counts at most one apart.
+
+Whole records pass two exchanges: equal ones meet and are counted (partially
+before the exchange, so a record that holds a third of all rows is one row of
+each task), then all are scattered.  How many rows a bucket will hold follows
+from hashes alone, in a job of its own; the place of a bucket's first row is a
+prefix sum in two steps, over groups of buckets and over at most ``GROUPS``
+group totals, and travels to its bucket as one more row of the scatter.  A
+bucket lies in at most two shards and is written where it is, so there are as
+many write tasks as buckets.
 
 Every input row comes out once, nulls included.  An empty table gives an empty
 result.  Columns named like the results are carried apart and not overwritten:
@@ -31,20 +39,54 @@ GROUPS = 1024
 LAW = "rows"
 
 
+def digests(records: DataFrame, seed: int) -> list[Column]:
+    """128 bits that tell records apart; nulls count by their place."""
+    parts: list[Column] = []
+    for f in records.schema.fields:
+        c = F.col(f"`{f.name}`")
+        parts += [c.isNull(), c]
+        if isinstance(f.dataType, (T.ArrayType, T.StructType)):
+            parts.append(F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+    return [F.xxhash64(F.lit(seed + k), *parts).alias(f"_d{k}") for k in (0, 1)]
+
+
+def _each(counted: DataFrame, buckets: int, *cols: str) -> DataFrame:
+    """One row per ordinal of a counted digest, with its bucket."""
+    each = counted.select("_d0", "_d1", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("ordinal"), *cols)
+    return each.withColumn("bucket", F.pmod(F.xxhash64("_d0", "_d1", "ordinal"), F.lit(buckets).cast("bigint")).cast("int"))
+
+
 def scatter(records: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """Pass one: (bucket, order, rec)."""
-    counted = records.select(F.struct("*").alias("rec")).groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
-    each = counted.select("rec", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("ordinal"))
-    return each.select(
-        F.pmod(F.xxhash64(F.lit(seed), "rec", "ordinal"), F.lit(buckets).cast("bigint")).cast("int").alias("bucket"),
-        F.xxhash64(F.lit(seed + 1), "rec", "ordinal").alias("order"), "ordinal", "rec")
+    """Pass one: (bucket, order, ordinal, rec)."""
+    counted = records.select(*digests(records, seed), F.struct("*").alias("rec")).groupBy("_d0", "_d1", "rec").agg(F.count(F.lit(1)).alias("n"))
+    return _each(counted, buckets, "rec").select("bucket", F.xxhash64("_d1", "_d0", "ordinal").alias("order"), "ordinal", "rec")
+
+
+def bucket_places(records: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """(bucket, first, total): the position of each bucket's first row, and the number of all rows; written."""
+    counted = records.select(*digests(records, seed)).groupBy("_d0", "_d1").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(_each(counted, buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "grp", F.floor(F.col("bucket") * F.lit(GROUPS) / F.lit(buckets))))
+    totals = counts.groupBy("grp").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = totals.select("grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("total"))
+    inside = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(totals), "grp")
+    return written(first.select("bucket", (F.col("base") + F.col("first")).alias("first"), "total"))
 
 
-def shuffled_buckets(scattered: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """Pass two: (bucket, recs), each bucket shuffled and written."""
-    arrays = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("order", "ordinal", "rec"))).alias("recs"))
-    placed = arrays.repartitionById(buckets, F.col("bucket"))
-    return written(placed.select("bucket", F.shuffle(F.col("recs"), F.lit(seed)).alias("recs")))
+def shuffled_buckets(scattered: DataFrame, places: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """Pass two: (first, total, recs) of each bucket, shuffled.  The rows of a
+    bucket are one partition already when they are gathered."""
+    types = dict(scattered.dtypes)
+    none = [F.lit(None).cast(types[c]).alias(c) for c in ("order", "ordinal", "rec")]
+    marks = places.select("bucket", *none, "first", "total")
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("first", "total")]
+    placed = scattered.select("bucket", "order", "ordinal", "rec", *nothing).unionByName(marks).repartitionById(buckets, F.col("bucket"))
+    rows = F.sort_array(F.collect_list(F.when(F.col("rec").isNotNull(), F.struct("order", "ordinal", "rec"))))
+    arrays = placed.groupBy("bucket").agg(rows.alias("recs"), F.max("first").alias("first"), F.max("total").alias("total"))
+    return arrays.select("first", "total", F.shuffle(F.col("recs"), F.lit(seed)).alias("recs"))
 
 
 def n_bytes(records: DataFrame) -> Column:
@@ -72,17 +114,8 @@ def assign(records: DataFrame, shards: int = 16, seed: int = 42, bucket_rows: in
     one task holds in memory; there are more buckets for more rows or longer
     ones.  Records are compared and ordered, so they may not hold maps."""
     buckets = n_buckets(records, bucket_rows, bucket_bytes, least_buckets)
-    arrays = shuffled_buckets(scatter(records, buckets, seed), buckets, seed)
-    group = F.floor(F.col("bucket") * F.lit(GROUPS) / F.lit(buckets))
-    counts = arrays.select("bucket", group.alias("grp"), F.size("recs").cast("bigint").alias("n"))
-    totals = counts.groupBy("grp").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = totals.select("grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("total"))
-    inside = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(totals), "grp")
-    offsets = offsets.select("bucket", (F.col("base") + F.col("first")).alias("first"), "total")
-    each = arrays.join(offsets, "bucket").select("first", "total", F.posexplode("recs").alias("i", "r"))
+    arrays = shuffled_buckets(scatter(records, buckets, seed), bucket_places(records, buckets, seed), buckets, seed)
+    each = arrays.select("first", "total", F.posexplode("recs").alias("i", "r"))
     at = F.col("first") + F.col("i")
     placed = each.select(F.col("r.rec").alias("rec"), at.alias("at"), F.expr(f"(first + i) * {shards} div total").alias("shard"), "total")
     start = F.expr(f"(shard * total + {shards - 1}) div {shards}")
@@ -90,9 +123,10 @@ def assign(records: DataFrame, shards: int = 16, seed: int = 42, bucket_rows: in
 
 
 def write_shards(records: DataFrame, path: str, shards: int = 16, seed: int = 42, **kw) -> None:
-    """Write every shard as a folder ``shard=s`` with its rows in slot order."""
+    """Write every shard as a folder ``shard=s``; each of its files holds a run
+    of its rows in slot order."""
     placed = assign(records, shards, seed, **kw).select("shard", "slot", "rec")
-    placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def document_shards(docs: DataFrame, shards: int = 16, seed: int = 42, **kw) -> DataFrame:
