@@ -145,6 +145,8 @@ MEASURE_1, MEASURE_2 = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}"
 MEASURE_IS_1 = f"^({_C})?{_V}{_C}({_V})?$"
 HAS_VOWEL = f"^({_C})?[aeiouy]"
 SHORT = f"^{_C}[aeiouy][^aeiouwxy]$"
+#: What a doubled consonant that loses one letter ends with; of a run of y every other one is a consonant.
+DOUBLE_END = "[^aeiouylsz]$|[^aeiouy](yy)+$|[aeiou]y(yy)+$"
 SUFFIX_RULES = {"2": _STEP2, "3": _STEP3, "4": [(s, "") for s in _STEP4]}
 
 
@@ -176,8 +178,8 @@ def stem_table(tokens: DataFrame, token: str = "token") -> DataFrame:
     ed, ing = w.endswith("ed") & _cut(w, 2).rlike(HAS_VOWEL), w.endswith("ing") & _cut(w, 3).rlike(HAS_VOWEL)
     t = t.withColumn("bare", ~w.endswith("eed") & (ed | ing)).withColumn(
         "w", F.when(w.endswith("eed"), F.when(_cut(w, 3).rlike(MEASURE_1), _cut(w, 1)).otherwise(w)).when(ed, _cut(w, 2)).when(ing, _cut(w, 3)).otherwise(w))
-    mended = (F.when(w.rlike("(at|bl|iz)$"), F.concat(w, F.lit("e"))).when(_doubled(w) & w.rlike("[^aeiouylsz]$"), _cut(w, 1))
-              .when(~(_doubled(w) & w.rlike("[^aeiouy]$") & ~w.rlike("[lsz]$")) & w.rlike(SHORT), F.concat(w, F.lit("e"))).otherwise(w))
+    mended = (F.when(w.rlike("(at|bl|iz)$"), F.concat(w, F.lit("e"))).when(_doubled(w) & w.rlike(DOUBLE_END), _cut(w, 1))
+              .when(w.rlike(SHORT), F.concat(w, F.lit("e"))).otherwise(w))
     t = t.withColumn("w", F.when(F.col("bare"), mended).otherwise(w)).drop("bare")
     t = t.withColumn("w", F.when(w.endswith("y") & _cut(w, 1).rlike(HAS_VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w))
     for name, measure in (("2", MEASURE_1), ("3", MEASURE_1), ("4", MEASURE_2)):

@@ -34,10 +34,22 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: What full case folding does to lower-case characters: one for one, and one for several.  Built by rule.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c != c.casefold()}
+FOLD_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+FOLD_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+_RARE = "[" + "".join(c for c in _FOLDS if c != "ß") + "]"
+
+
 def fold(c) -> Column:
-    """Case folding as ``str.casefold`` for the scripts in the data: lower case
-    plus sharp s -> ss."""
-    return F.replace(F.lower(col_(c)), F.lit("ß"), F.lit("ss"))
+    """Full case folding, ``str.casefold``: lower case, then the characters that
+    fold further (sharp s, ligatures, final sigma, Greek with iota).  Texts
+    without the rare ones among them take no more than a replacement."""
+    low = F.lower(col_(c))
+    one = F.translate(low, "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    more = F.create_map(*(F.lit(x) for pair in FOLD_MORE.items() for x in pair))
+    full = F.array_join(F.transform(F.split(one, "", -1), lambda x: F.coalesce(F.element_at(more, x), x)), "")
+    return F.when(low.rlike(_RARE), full).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def strip(c) -> Column:

@@ -31,19 +31,19 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyforge.session import cut_lineage
+from keyforge.session import cut_lineage, written
 
 from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE, empty_strs, postprocess
 from keyforge.operators.maxsum import maxsum_select
 
 SIM_DIGITS = 12
+MAX_ROUNDS = 3  # of Word2Vec training
 # Documents: the last tier is the document's whole candidate list, bounded
 # by the document's length.  Arbitrary groups (e.g. all vectors of a label)
 # are not bounded, so their last tier is the relational MMR.
 TIERS = (256, 2048, None)
 GROUP_TIERS = (32, 256, 2048, "relational")
-BROADCAST_MAX_TERMS = 1_000_000  # about 40 MB of (term, idf) rows
 
 
 @dataclass
@@ -84,12 +84,6 @@ def candidate_terms(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
             .groupBy("doc_id", "phrase", "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast only when the row count is proven small; otherwise leave the
-    join to a shuffle (AQE splits skewed keys)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     """KEY3-KEY4: (doc_id, phrase, sim, terms: array<struct<term, w>>, norm, tn).
 
@@ -106,7 +100,9 @@ def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     n_docs = docs.count()
     df_ = dterm.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.select("term", (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    idf = _broadcast_if_small(idf, BROADCAST_MAX_TERMS)
+    # Written before it is joined: AQE then knows its size (it broadcasts a
+    # small one by its bytes) and can split the partition of a hot term.
+    idf = written(idf, "idf")
     dw = dterm.join(idf, "term").select("doc_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("wd"))
     dnorm = (dw.groupBy("doc_id")
              .agg(F.array_sort(F.collect_list(F.struct("term", "wd"))).alias("s"))
@@ -125,7 +121,7 @@ def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     grams = grams.groupBy("doc_id", "phrase").agg(F.first("g").alias("g"))
     if cfg.min_df > 1:
         keep = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("pdf")).where(F.col("pdf") >= cfg.min_df)
-        grams = grams.join(keep.select("phrase"), "phrase")
+        grams = grams.join(written(keep.select("phrase"), "phrases"), "phrase")
     g = F.col("g")
     st = F.array_sort(F.array_distinct(g))  # distinct terms (at most n), ordered by term
     cnt = lambda t: F.size(F.filter(g, lambda y: y["term"] == t["term"]))
@@ -333,22 +329,23 @@ def embedding_mmr(vectors: DataFrame, k: int = 5, d: float = 0.6, group: str = "
 
 
 def word2vec_candidates(docs: DataFrame, cfg: KeyBertConfig | None = None, vector_size: int = 32,
-                        min_count: int = 2, seed: int = 42) -> DataFrame:
+                        min_count: int = 2, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """KEY4(b): MLlib ``Word2Vec`` trained on the corpus; a document and a
     candidate are the mean vectors of their words.  Returns (doc_id,
     phrase, sim, vec, norm) for ``mmr_select`` with ``dense_pair_sim``.
-    The word-vector table is joined (broadcast only when its row count is
-    below the checked bound)."""
+    Training is spread over ``partitions`` tasks (the default parallelism), each
+    round averaging their vectors, with more rounds for more partitions.  The
+    word-vector table is written before it is joined."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
     cfg = cfg or KeyBertConfig()
     words = docs.select("doc_id", _words(F.col("text"), cfg.stopwords).alias("w"))
-    model = Word2Vec(vectorSize=vector_size, minCount=min_count, seed=seed, maxIter=1,
-                     inputCol="w", outputCol="v").fit(words)
+    partitions = partitions or docs.sparkSession.sparkContext.defaultParallelism
+    model = Word2Vec(vectorSize=vector_size, minCount=min_count, seed=seed, numPartitions=partitions,
+                     maxIter=min(partitions, MAX_ROUNDS), inputCol="w", outputCol="v").fit(words)
     vecs = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("wv"))
-    vecs = _broadcast_if_small(vecs, BROADCAST_MAX_TERMS)
+    vecs = written(vecs, "word-vectors")
     ct = candidate_terms(docs, cfg).join(vecs, "term")
-    dims = list(range(vector_size))
 
     def mean_vec(df, keys):
         exploded = df.select(*keys, "cnt", F.posexplode("wv").alias("i", "x"))
@@ -360,7 +357,6 @@ def word2vec_candidates(docs: DataFrame, cfg: KeyBertConfig | None = None, vecto
     dterm = (words.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term")
              .agg(F.count(F.lit(1)).alias("cnt")).join(vecs, "term"))
     dvec = mean_vec(dterm, ["doc_id"]).withColumnRenamed("vec", "dvec")
-    del dims
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda z, x: z + x * x))
     j = cvec.join(dvec, "doc_id")
     dot = F.aggregate(F.zip_with("vec", "dvec", lambda x, y: x * y), F.lit(0.0), lambda z, v: z + v)

@@ -181,7 +181,7 @@ def stem_ctes(words: str) -> str:
             WHEN ends_with(w, 'ing') AND regexp_matches({cut(3)}, '{vowel}') THEN {cut(3)} ELSE w END""",
          f"""NOT ends_with(w, 'eed') AND ((ends_with(w, 'ed') AND regexp_matches({cut(2)}, '{vowel}')) OR (ends_with(w, 'ing') AND regexp_matches({cut(3)}, '{vowel}')))"""),
         (f"""CASE WHEN NOT bare THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
-            WHEN {doubled} AND regexp_matches(w, '[^aeiouylsz]$') THEN {cut(1)}
+            WHEN {doubled} AND regexp_matches(w, '[^aeiouylsz]$|[^aeiouy](yy)+$|[aeiou]y(yy)+$') THEN {cut(1)}
             WHEN regexp_matches(w, '{short}') THEN w || 'e' ELSE w END""", "false"),
         (f"CASE WHEN ends_with(w, 'y') AND regexp_matches({cut(1)}, '{vowel}') THEN {cut(1)} || 'i' ELSE w END", "false"),
         (_stem_rules(_STEP2, m1), "false"), (_stem_rules(_STEP3, m1), "false"), (_stem_rules([(x, "") for x in _STEP4], m2), "false"),
