@@ -228,3 +228,54 @@ def trk2_term_graph(spark, sf):
     g = TR.graph(blocks, cfg)
     return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("w").cast("bigint").alias("total_weight"),
                                    F.countDistinct("src").alias("n_nodes"))
+
+
+# --- row level -----------------------------------------------------------------
+
+@register("tok1_tokens", "WITH " + tokens_cte() + """
+SELECT doc_id, n_sent::BIGINT AS n_sent, sid::BIGINT AS sid, bid::BIGINT AS bid, tid::BIGINT AS tid, tok, nxt1, nxt2 FROM toks""")
+def tok1_tokens(spark, sf):
+    """TOK1: every token with its place and its next two."""
+    t = TK.token_table(docs_by_id(spark, sf))
+    return t.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_sent", "sid", "bid", "tid")], "tok", "nxt1", "nxt2")
+
+
+@register("yak4_term_scores", "WITH " + tokens_cte() + "," + yake_cte() + """
+SELECT doc_id, term, tf::BIGINT AS tf, stop, round(H, 6) AS h FROM yake_terms""")
+def yak4_term_scores(spark, sf):
+    """YAK2-YAK4: every term of every document with its score."""
+    terms, _ = Y.term_scores(TK.token_table(docs_by_id(spark, sf)), Y.YakeConfig())
+    return terms.select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"), "stop", F.round("H", 6).alias("h"))
+
+
+@register("yak3_neighbours", "WITH " + tokens_cte() + "," + yake_cte(window=2) + """
+SELECT doc_id, a, b, w::BIGINT AS w FROM yake_edges""")
+def yak3_neighbours(spark, sf):
+    """YAK3: every pair of terms up to two tokens apart, with its count."""
+    _, edges = Y.term_scores(TK.token_table(docs_by_id(spark, sf)), Y.YakeConfig(window_size=2))
+    return edges.select("doc_id", "a", "b", F.col("w").cast("bigint").alias("w"))
+
+
+@register("trk2_edges", "WITH " + tokens_cte() + "," + OX.textrank_cte() + """
+SELECT doc_id, src, dst, w::BIGINT AS w FROM tr_e""")
+def trk2_edges(spark, sf):
+    """TRK2: every edge of every document's graph."""
+    blocks = TK.block_table(docs_by_id(spark, sf)).where(F.size("toks") > 0)
+    return TR.graph(blocks, TR.TextRankConfig()).select("doc_id", "src", "dst", F.col("w").cast("bigint").alias("w"))
+
+
+@register("trk3_ranks", "WITH " + tokens_cte() + "," + OX.textrank_cte() + """
+SELECT doc_id, term, round(r, 6) AS rank FROM tr_r10""")
+def trk3_ranks(spark, sf):
+    """TRK3: the rank of every node."""
+    cfg = TR.TextRankConfig()
+    blocks = TK.block_table(docs_by_id(spark, sf)).where(F.size("toks") > 0)
+    return TR.pagerank(TR.graph(blocks, cfg), cfg).select("doc_id", "term", F.round("rank", 6).alias("rank"))
+
+
+@register("key2_candidates", "WITH " + OX.kb_candidates_cte() + """
+SELECT doc_id, phrase, round(sim, 6) AS sim, round(norm, 6) AS norm, array_to_string(list_transform(terms, lambda kt: kt.term), ' ') AS terms FROM kb_cand""")
+def key2_candidates(spark, sf):
+    """KEY2-KEY4: every candidate with its similarity, norm and terms."""
+    c = KB.tfidf_candidates(docs_by_id(spark, sf), KB.KeyBertConfig())
+    return c.select("doc_id", "phrase", F.round("sim", 6).alias("sim"), F.round("norm", 6).alias("norm"), F.array_join("tn", " ").alias("terms"))

@@ -83,12 +83,12 @@ def responses(docs: DataFrame) -> DataFrame:
 
 def weighted_gold(docs: DataFrame, k: int = GOLD_SIZE) -> DataFrame:
     """(doc_id, ref): the k long tokens of a document with the highest
-    tf * ln(N / df), ordered by it and then by token: how often a word occurs
-    in its document does not settle whether it is among them."""
-    t = docs.select("doc_id", F.explode(_long_tokens(F.col("text"))).alias("tok"))
-    tf = t.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"))
+    tf * ln(N / df), ordered by it and then by first place: how often a word
+    occurs in its document does not settle whether it is among them."""
+    t = docs.select("doc_id", F.posexplode(_long_tokens(F.col("text"))).alias("pos", "tok"))
+    tf = t.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
     df = written(tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df")), "token-df")
-    w = Window.partitionBy("doc_id").orderBy(F.col("v").desc(), F.col("tok"))
+    w = Window.partitionBy("doc_id").orderBy(F.col("v").desc(), F.col("pos"))
     top = (tf.join(df, "tok").withColumn("v", F.round(F.col("tf") * F.log(F.lit(float(docs.count())) / F.col("df")), 9))
            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k))
     return top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("s")).select("doc_id", F.col("s.tok").alias("ref"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from keyforge.functions import parse as P
 from keyforge.functions import text as T
-from keyforge.session import ensure_checkpoint_dir
 
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
@@ -41,11 +40,10 @@ def parse_stream(stream: DataFrame, col: str = "response") -> DataFrame:
 def extract_per_batch(stream: DataFrame, extractor, sink_path: str, checkpoint: str | None = None,
                       query_name: str = "keyphrases"):
     """Run a batch extractor (``fn(docs) -> (doc_id, keywords)``) on every
-    micro-batch and append the result to parquet.  The checkpoint lives in
-    the session's shared checkpoint folder unless given."""
-    spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    checkpoint = checkpoint or os.path.join(base, f"stream-{query_name}")
+    micro-batch and append the result to parquet.  The checkpoint lies beside
+    the result unless given (readers skip the folder), so a restarted
+    application goes on behind the last finished batch."""
+    checkpoint = checkpoint or os.path.join(sink_path, f"_checkpoint-{query_name}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         out = extractor(batch.select("doc_id", "text")).withColumn("batch_id", F.lit(batch_id))
