@@ -120,4 +120,52 @@ SELECT n.doc_id, n.n_shingles, coalesce(l.component_id, n.doc_id) AS component_i
 FROM named n LEFT JOIN least_id l ON n.rep = l.a
 """
 
-ORACLE = {"op1_license_scan": _LICENCES, "op6_source_mixing": _MIXING, "op10_minhash_neardup": _NEARDUP}
+# The damage by a CRC-32 whose table is built by its rule; the program as a
+# recursion over rows that keeps, per state, the cheapest and then least letters.
+_REPAIR = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS name FROM conversations),
+hashed AS (SELECT raw.* EXCLUDE (name), xor(list_reduce(name, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS harm FROM raw, tab),
+hurt AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+                CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE harm <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM hurt),
+seen AS (SELECT *, regexp_matches(text, '^[\x20\x09-\x0D]*$') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS twice,
+                NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS short, lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+marked AS (SELECT *, blank OR twice AS must_go, (short AND NOT blank AND NOT twice) AS truncated,
+                  (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM seen),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                  count(*) FILTER (twice AND NOT blank) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+           FROM marked GROUP BY conv_id),
+ways(conv_id, k, state, cost, audit, said) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, 0::BIGINT, '', '' FROM conversations
+  UNION ALL
+  (WITH one AS (SELECT *, CASE state WHEN 2 THEN 'assistant' ELSE 'user' END AS due, CASE state WHEN 2 THEN 3 ELSE 2 END AS after FROM ways),
+   two AS (SELECT *, CASE after WHEN 2 THEN 'assistant' ELSE 'user' END AS due2, CASE after WHEN 2 THEN 3 ELSE 2 END AS after2 FROM one),
+   with_inserts AS (SELECT conv_id, k, u.* FROM (SELECT conv_id, k, unnest([
+       {'state': state, 'cost': cost, 'audit': audit, 'said': said},
+       {'state': after, 'cost': cost + 3, 'audit': audit || 'I', 'said': said || due || ':' || chr(10)},
+       {'state': after2, 'cost': cost + 6, 'audit': audit || 'II', 'said': said || due || ':' || chr(10) || due2 || ':' || chr(10)}]) AS u FROM two)),
+   ready AS (SELECT w.*, m.role, m.text, m.must_go, CASE WHEN m.truncated THEN 3 ELSE 0 END AS more,
+                    CASE w.state WHEN 2 THEN 'assistant' ELSE 'user' END AS due, CASE w.state WHEN 2 THEN 3 ELSE 2 END AS after
+             FROM with_inserts w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k + 1),
+   edits AS (
+     SELECT conv_id, k + 1 AS k, state, cost + 4 AS cost, audit || 'D' AS audit, said FROM ready
+     UNION ALL SELECT conv_id, k + 1, after, cost + 3 + more, audit || 'R', said || due || ':' || text || chr(10) FROM ready WHERE NOT must_go
+     UNION ALL SELECT conv_id, k + 1, CASE WHEN left(role, 1) = 's' THEN 1 ELSE after END, cost + more, audit || 'K', said || role || ':' || text || chr(10)
+       FROM ready WHERE NOT must_go AND (left(role, 1) = left(due, 1) OR (left(role, 1) = 's' AND state = 0)))
+   SELECT conv_id, k, state, cost, audit, said FROM edits QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1)),
+done AS (SELECT w.* FROM ways w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.k = coalesce(c.n, 0)),
+ends AS (
+  SELECT conv_id, state, cost, audit, said FROM done
+  UNION ALL SELECT conv_id, CASE state WHEN 2 THEN 3 ELSE 2 END, cost + 3, audit || 'I', said || CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END || chr(10) FROM done
+  UNION ALL SELECT conv_id, CASE state WHEN 2 THEN 2 ELSE 3 END, cost + 6, audit || 'II', said || CASE state WHEN 2 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END || chr(10) FROM done),
+best AS (SELECT * FROM ends WHERE state IN (0, 3) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT b.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, b.cost::BIGINT AS cost, b.audit,
+       sha256(CASE WHEN said = '' THEN '' ELSE left(said, length(said) - 1) END) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+ORACLE = {"op1_license_scan": _LICENCES, "op6_source_mixing": _MIXING, "op10_minhash_neardup": _NEARDUP, "op13_conversation_repair": _REPAIR}

@@ -380,3 +380,16 @@ def test_repair_takes_rows_that_are_not_damaged(spark):
     df = spark.createDataFrame([(1, 0, "user", "Hi.")], "conv_id long, turn long, role string, text string") \
         .withColumns({"dropped": F.lit(False), "copy": F.lit(0)})
     assert conversations.repair(df).first().audit == "KI"
+
+
+def test_repair_statement_on_odd_rows():
+    import duckdb
+    import pandas as pd
+
+    from keyforge.llm.oracles import ORACLE
+
+    rows = [r for r in odd_conversations() if r[0] != 99]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role::VARCHAR AS role, text::VARCHAR AS text FROM given")
+    assert sorted(con.execute(ORACLE["op13_conversation_repair"]).fetchall(), key=str) == plain_repair(rows)
