@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyforge.session import keep
+
 CHUNKS = (64, 512, 4096, None)
 
 
@@ -33,7 +34,7 @@ def greedy_walk(cands: DataFrame, k: int, accept: Callable[[Column, Column], Col
     passes rank only the documents still open."""
     from pyspark.sql import Window
     if order is not None:
-        cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
+        cands = keep(cands)
         w = Window.partitionBy(key).orderBy(*order)
     probe = cands if order is None else cands.withColumn(rank_col, F.lit(1))
     item_type = probe.select(F.struct(F.col(rank_col).alias("rk"), *item_cols).alias("s")).schema["s"].dataType
@@ -64,8 +65,7 @@ def greedy_walk(cands: DataFrame, k: int, accept: Callable[[Column, Column], Col
         items = F.coalesce(F.col("c"), F.array().cast(F.ArrayType(item_type)))
         # Persisted: the next pass reads the open documents from it, so the
         # walk of this pass is computed once.
-        walked = (arrs.select(key, F.aggregate(items, init, step).alias("kept"), "_last")
-                  .persist(StorageLevel.MEMORY_AND_DISK))
+        walked = keep(arrs.select(key, F.aggregate(items, init, step).alias("kept"), "_last"))
         if hi is None:
             results.append(walked.select(key, "kept"))
             break

@@ -27,15 +27,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyforge.session import cut_lineage, written
+from keyforge.session import cut_lineage, keep, scratch, written
 
 from keyforge.functions.stopwords import ENGLISH
 from keyforge.functions.text import TOKEN_RE, empty_strs, postprocess
-from keyforge.operators.maxsum import maxsum_select
+from keyforge.operators import maxsum as MS
 
 SIM_DIGITS = 12
 MAX_ROUNDS = 3  # of Word2Vec training
@@ -95,8 +94,7 @@ def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     lo, hi = cfg.ngram_range
     words = docs.select("doc_id", _words(F.col("text"), cfg.stopwords).alias("w"))
     tokpos = words.select("doc_id", F.posexplode("w").alias("pos", "term"))
-    dterm = (tokpos.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    dterm = keep(tokpos.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.count()
     df_ = dterm.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.select("term", (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
@@ -120,8 +118,8 @@ def tfidf_candidates(docs: DataFrame, cfg: KeyBertConfig) -> DataFrame:
     # phrase carry the same weights).
     grams = grams.groupBy("doc_id", "phrase").agg(F.first("g").alias("g"))
     if cfg.min_df > 1:
-        keep = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("pdf")).where(F.col("pdf") >= cfg.min_df)
-        grams = grams.join(written(keep.select("phrase"), "phrases"), "phrase")
+        common = grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("pdf")).where(F.col("pdf") >= cfg.min_df)
+        grams = grams.join(written(common.select("phrase"), "phrases"), "phrase")
     g = F.col("g")
     st = F.array_sort(F.array_distinct(g))  # distinct terms (at most n), ordered by term
     cnt = lambda t: F.size(F.filter(g, lambda y: y["term"] == t["term"]))
@@ -199,7 +197,7 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
                name: str = "phrase", sim_floor: float = 0.0, tiers=TIERS) -> DataFrame:
     """KEY5 over (key, name, sim, item_cols...): (key, rank, name, sim, score)."""
     w = Window.partitionBy(key).orderBy(F.col("sim").desc(), F.col(name))
-    cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
+    cands = keep(cands)
     results = []
     open_keys = None
     for m in tiers:
@@ -222,8 +220,7 @@ def mmr_select(cands: DataFrame, k: int, d: float, item_cols: list[str], pair_si
             F.sort_array(F.collect_list(F.when(inside, item))).alias("items"),
             F.max(F.when(~inside, F.col("sim"))).alias("next_sim"))
         # Persisted: the next tier takes its open keys from this result.
-        picked = (arrs.select(key, _mmr_array(F.col("items"), k, d, pair_sim).alias("picks"), "next_sim")
-                  .persist(StorageLevel.MEMORY_AND_DISK))
+        picked = keep(arrs.select(key, _mmr_array(F.col("items"), k, d, pair_sim).alias("picks"), "next_sim"))
         if m is None:
             results.append(picked)
             break
@@ -285,7 +282,7 @@ def ranked_keyphrases(docs: DataFrame, cfg: KeyBertConfig | None = None) -> Data
     cfg = cfg or KeyBertConfig()
     cands = tfidf_candidates(docs, cfg)
     if cfg.use_maxsum:
-        return maxsum_select(cands, cfg.top_k, cfg.nr_candidates, term_pair_sim, ["terms", "norm", "tn"])
+        return maxsum_select(cands, cfg.top_k, cfg.nr_candidates)
     if cfg.use_mmr:
         return mmr_select(cands, cfg.top_k, cfg.diversity, ["terms", "norm", "tn"], term_pair_sim).drop("score")
     w = Window.partitionBy("doc_id").orderBy(F.col("sim").desc(), F.col("phrase"))
@@ -293,16 +290,22 @@ def ranked_keyphrases(docs: DataFrame, cfg: KeyBertConfig | None = None) -> Data
             .select("doc_id", "rank", "phrase", "sim"))
 
 
+def maxsum_select(cands: DataFrame, top_n: int, nr_candidates: int) -> DataFrame:
+    """KEY6 over TF-IDF candidates: (doc_id, rank, phrase, sim)."""
+    return MS.maxsum_select(cands, top_n, nr_candidates, term_pair_sim, ["terms", "norm", "tn"])
+
+
 def extract(docs: DataFrame, cfg: KeyBertConfig | None = None) -> DataFrame:
     """KEY1 ``KeyBertExtractor.extract`` for every document: (doc_id,
     keywords) in selection order, KWD5-post-processed; blank documents ``[]``."""
     cfg = cfg or KeyBertConfig()
-    r = ranked_keyphrases(docs, cfg)
-    lists = (r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
-             .select("doc_id", postprocess(F.col("s.phrase"), cfg.lowercase, cfg.min_len, cfg.max_len,
-                                           cfg.dedupe).alias("keywords")))
-    return cut_lineage(docs.select("doc_id").join(lists, "doc_id", "left")
-                       .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))
+    with scratch():
+        r = ranked_keyphrases(docs, cfg)
+        lists = (r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
+                 .select("doc_id", postprocess(F.col("s.phrase"), cfg.lowercase, cfg.min_len, cfg.max_len,
+                                               cfg.dedupe).alias("keywords")))
+        return cut_lineage(docs.select("doc_id").join(lists, "doc_id", "left")
+                           .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))
 
 
 def embedding_mmr(vectors: DataFrame, k: int = 5, d: float = 0.6, group: str = "label",

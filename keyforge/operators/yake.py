@@ -32,11 +32,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyforge.session import cut_lineage
+from keyforge.session import cut_lineage, keep, scratch
 
 from keyforge.functions.stopwords import BY_LANGUAGE
 from keyforge.functions.text import empty_strs, postprocess
@@ -221,10 +220,9 @@ def ranked_keyphrases(docs: DataFrame, cfg: YakeConfig | None = None, toks: Data
     # (spill-safe, recomputed from lineage if an executor is lost) so they
     # are computed once instead of once per branch.
     toks = toks if toks is not None else token_table(docs, cfg.reach, cfg.keep)
-    toks = toks.persist(StorageLevel.MEMORY_AND_DISK)
+    toks = keep(toks)
     terms, edges = term_scores(toks, cfg)
-    terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
-    edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    terms, edges = keep(terms), keep(edges)
     cand = candidates(toks, terms, edges, cfg)
     cand = cand.withColumn("score_r", F.round("score", SCORE_DIGITS))
     kept = greedy_walk(cand, cfg.top_k, _similar(cfg.dedup_thresh), ["phrase", "score"],
@@ -238,10 +236,11 @@ def extract(docs: DataFrame, cfg: YakeConfig | None = None, toks: DataFrame | No
     """YAK1 ``YakeExtractor.extract`` for every document: (doc_id, keywords);
     blank documents get ``[]`` (FLT4)."""
     cfg = cfg or YakeConfig()
-    kept = ranked_keyphrases(docs, cfg, toks)
-    lists = (kept.groupBy("doc_id")
-             .agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
-             .select("doc_id", postprocess(F.col("s.phrase"), cfg.lowercase, cfg.min_len, cfg.max_len,
-                                           cfg.dedupe).alias("keywords")))
-    return cut_lineage(docs.select("doc_id").join(lists, "doc_id", "left")
-                       .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))
+    with scratch():
+        kept = ranked_keyphrases(docs, cfg, toks)
+        lists = (kept.groupBy("doc_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("s"))
+                 .select("doc_id", postprocess(F.col("s.phrase"), cfg.lowercase, cfg.min_len, cfg.max_len,
+                                               cfg.dedupe).alias("keywords")))
+        return cut_lineage(docs.select("doc_id").join(lists, "doc_id", "left")
+                           .select("doc_id", F.coalesce("keywords", empty_strs()).alias("keywords")))

@@ -13,10 +13,12 @@ switches to the single-shuffle plan.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -100,3 +102,27 @@ def written(df, name: str = "table"):
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SCRATCH: list[list] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that ``keep`` caches inside are released at the end.  What is
+    returned from inside must have been written (``cut_lineage``, ``written``)."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for df in _SCRATCH.pop():
+            df.unpersist()
+
+
+def keep(df):
+    """``df`` cached for several readers (it spills to disk, and is computed
+    anew if an executor is lost) until the surrounding ``scratch`` ends."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _SCRATCH:
+        _SCRATCH[-1].append(df)
+    return df

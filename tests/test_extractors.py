@@ -71,12 +71,14 @@ def test_sentences_and_first_words(spark):
     assert kept[3] == [] and kept[4] == []
 
 
-def test_maxsum_guard(spark, docs):
+def test_maxsum_sizes(spark, docs):
+    cands = KB.tfidf_candidates(docs, KB.KeyBertConfig())
     with pytest.raises(ValueError):
-        KB.maxsum_select(KB.tfidf_candidates(docs, KB.KeyBertConfig()), 6, 20)
-    ms = KB.maxsum_select(KB.tfidf_candidates(docs, KB.KeyBertConfig()), 3, 6)
-    per = {r["doc_id"]: r["n"] for r in rows(ms.groupBy("doc_id").agg(F.count("*").alias("n")))}
-    assert per and all(n <= 3 for n in per.values())
+        KB.maxsum_select(cands, 6, 5)
+    held = {r["doc_id"]: r["n"] for r in rows(cands.groupBy("doc_id").agg(F.count("*").alias("n")))}
+    for n, nr in ((3, 6), (6, 20), (20, 20)):
+        per = {r["doc_id"]: r["n"] for r in rows(KB.maxsum_select(cands, n, nr).groupBy("doc_id").agg(F.count("*").alias("n")))}
+        assert per == {d: n for d, k in held.items() if k >= n}
 
 
 def test_greedy_chunks_are_exact(spark, docs):
