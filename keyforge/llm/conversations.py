@@ -16,7 +16,7 @@ turn follow each other, so that a comparison with the row before finds these,
 and a small table of first turns finds the others.  A null id is one
 conversation of its own.  Null roles and texts count as one space.  An empty
 table gives an empty result.  Other columns do not take part, whatever their
-names; ids that cannot be read as integers come back as null.
+names.  Ids and turns are integers.
 """
 
 from __future__ import annotations
