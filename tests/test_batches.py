@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from keyforge.operators import encode as EN
 from keyforge.operators import keybert as KB
 from keyforge.operators import textrank as TR
 from keyforge.operators import tokens as TK
@@ -94,3 +95,13 @@ def test_keybert_of_whole_documents(spark, odd):
     key = lambda df: {(r["doc_id"], r["rank"], r["phrase"]) for r in rows(df)}
     assert key(KB.tfidf_mmr(docs, cfg)) == key(KB.mmr_select(cands, cfg.top_k, cfg.diversity, ["terms", "norm", "tn"], KB.term_pair_sim, tiers=(None,)).drop("score"))
     assert key(KB.maxsum_select(KB.tfidf_candidates(docs, cfg, 6), 3, 6)) == key(KB.maxsum_select(cands, 3, 6))
+
+
+def test_encoder_joins_distinct_words(spark):
+    d = spark.createDataFrame([(1, "b a b c"), (2, ""), (3, None), (4, "zz a a"), (None, "a"), (5, "a b"), (5, "a b")], "doc_id bigint, text string")
+    vocab = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "term string, id int")
+    for head in (1, 4096):
+        enc = EN.encode(d, "text", vocab, head=head)
+        got = sorted(((r["doc_id"] or 0, r["ids"]) for r in rows(enc)))
+        assert got == [(0, []), (1, [4, 3, 4, 5]), (2, []), (3, []), (4, [2, 3, 3]), (5, [3, 3, 4, 4]), (5, [3, 3, 4, 4])]
+        assert "array_distinct" in enc._jdf.queryExecution().optimizedPlan().toString()
