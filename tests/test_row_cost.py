@@ -1,10 +1,17 @@
 """What a row costs: lists and texts are counted in batches, not by lambdas or rows per token."""
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from keyforge.functions.text import fold
+from keyforge.operators import keybert as KB
 from keyforge.operators import metrics as M
+from keyforge.operators import ranker as RK
+from keyforge.operators import textrank as TR
+from keyforge.operators import tokens as TK
+from keyforge.operators import yake as Y
 from keyforge.sources import fixtures as FX
 from tests.conftest import rows
 
@@ -50,3 +57,47 @@ def test_top_tokens_make_no_row_per_token(spark):
     assert "Generate" not in plan(top)
     gold = {r["doc_id"]: r["ref"] for r in rows(FX.weighted_gold(docs.where("doc_id is not null"), 2))}
     assert gold == {1: ["beta", "gamma"], 4: ["zeta", "alpha"]}
+
+
+TEXTS = [(1, "The quick brown fox jumps over the lazy dog. The quick Fox saw NASA 2 times; the quick fox ran (fast).\nFox and state of the art: state of art!"),
+         (2, "Ärger über Österreich und die Straße. Die Straße über Österreich, 3D und ²x ΣΑΣ."), (3, "the of and"), (4, ""), (5, None),
+         (6, "data " * 9 + "data mining tools. Data mining, data mining tools"), (7, "Graph theory twice"), (7, "Graph theory twice"), (None, "null ids here"), (8, "x")]
+
+
+def test_ranker_features_need_no_token_rows(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3, "doc_id")
+    cfg, ycfg = RK.RankerConfig(), Y.YakeConfig()
+    blocks = TK.block_table(docs).where(F.size("toks") > 0)
+    toks = TK.token_table_from_blocks(blocks, ycfg.reach)
+    score = {(r["doc_id"], r["phrase"]): r["score"] for r in rows(Y.candidates(toks, *Y.term_scores(toks, ycfg), ycfg))}
+    nodes = rows(TR.pagerank(TR.graph(blocks, TR.TextRankConfig()), TR.TextRankConfig()))
+    size = Counter(r["doc_id"] for r in nodes)
+    rank = {(r["doc_id"], r["term"]): r["rank"] * size[r["doc_id"]] for r in nodes}
+
+    def no(*_):
+        raise AssertionError("a row per token")
+    monkeypatch.setattr(Y, "term_scores", no)
+    feats = rows(RK.candidate_features(docs, cfg))
+    by = {(r["doc_id"], r["phrase"]): r for r in feats}
+    assert len(by) == len(feats) == 65
+    assert (by[6, "data mining"]["tf"], by[7, "graph theory"]["tf"], by[1, "fox"]["cap_share"], by[1, "times"]["cap_share"]) == (3, 2, 0.5, 0.0)
+    for (d, p), r in by.items():
+        s, words = score.get((d, p), 0), p.split(" ")
+        assert abs(r["yake"] - (-math.log(s) if s > 0 else 0.0)) < 1e-9
+        assert abs(r["textrank"] - (0.0 if d is None else sum(rank.get((d, w), 0.0) for w in words) / len(words))) < 1e-9
+
+
+def test_word_vectors_stay_in_their_batch(spark, monkeypatch):
+    """A null text has no words; the head of the vocabulary and the rest give the same candidates; no row per dimension."""
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").coalesce(1)
+    kind = {"min_count": 1, "vector_size": 8, "partitions": 1}
+    found = {(r["doc_id"], r["phrase"]): r for r in rows(KB.word2vec_candidates(docs, **kind))}
+    monkeypatch.setattr(KB, "HEAD", 3)
+    cands = KB.word2vec_candidates(docs, **kind)
+    again = {(r["doc_id"], r["phrase"]): r for r in rows(cands)}
+    assert found == again and "posexplode" not in plan(cands) and {d for d, _ in found} == {1, 2, 6, 7}
+    assert all(len(r["vec"]) == 8 and abs(r["norm"] - math.hypot(*r["vec"])) < 1e-9 for r in found.values())
+    want = rows(KB.mmr_select(cands, 5, 0.6, ["vec", "norm"], KB.dense_pair_sim, sim_floor=-1.0))
+    got = rows(KB.word2vec_mmr(docs, k=5, d=0.6, **kind))
+    shown = lambda x: sorted((r["doc_id"], r["rank"], r["phrase"], round(r["score"], 9)) for r in x)
+    assert shown(got) == shown(want) and {r["doc_id"] for r in got} == {1, 2, 6, 7}
