@@ -3,9 +3,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from keyforge.functions.text import fold
+from keyforge.operators import batches as B
 from keyforge.operators import keybert as KB
 from keyforge.operators import metrics as M
 from keyforge.operators import ranker as RK
@@ -101,3 +104,10 @@ def test_word_vectors_stay_in_their_batch(spark, monkeypatch):
     got = rows(KB.word2vec_mmr(docs, k=5, d=0.6, **kind))
     shown = lambda x: sorted((r["doc_id"], r["rank"], r["phrase"], round(r["score"], 9)) for r in x)
     assert shown(got) == shown(want) and {r["doc_id"] for r in got} == {1, 2, 6, 7}
+
+
+def test_empty_lists_without_offsets():
+    """The JVM may send an empty list column whose offsets hold anything."""
+    lists = pa.Array.from_buffers(pa.list_(pa.int64()), 0, [None, pa.py_buffer(np.array([-7], dtype=np.int32))], children=[pa.array([], pa.int64())])
+    offsets, values = B.parts(lists)
+    assert offsets.tolist() == [0] and len(values) == 0
