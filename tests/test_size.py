@@ -1,8 +1,11 @@
 """What travels between tasks: rare words only, no step computed twice."""
+from collections import Counter
+
 import pytest
 
 from keyforge.operators import encode as EN
 from keyforge.operators import keybert as KB
+from keyforge.operators import phrase_counts as PC
 from keyforge.plans import q_model as QM
 from tests.conftest import rows
 
@@ -45,3 +48,19 @@ def test_rows_are_encoded_once(spark, tmp_path, name, others):
     docs = spark.createDataFrame([(i, f"graph theory number{i % 3} search", "a") for i in range(9)], "doc_id long, text string, source string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert getattr(QM, name)(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == others
+
+
+def test_phrases_are_counted_without_a_row_each(spark, monkeypatch):
+    """Few or many packs and buckets: the candidates in two documents at least, whole."""
+    docs = spark.createDataFrame([*TEXTS, *((i, f"tree graph zebra w{i} w{i % 4}") for i in range(20, 60))], "doc_id long, text string")
+    every = rows(KB.tfidf_candidates(docs, KB.KeyBertConfig()))
+    df = Counter(r["phrase"] for r in every)
+    shown = lambda x: sorted((r["doc_id"], r["phrase"], r["sim"], r["norm"], r["terms"], r["tn"]) for r in x)
+    for pack, bucket in ((1, 1), (300, 200), (10 ** 9, 10 ** 9)):
+        monkeypatch.setattr(PC, "PACK", pack)
+        monkeypatch.setattr(PC, "BUCKET", bucket)
+        for least in (2, 5):
+            got = KB.tfidf_candidates(docs, KB.KeyBertConfig(min_df=least))
+            assert shown(rows(got)) == shown(r for r in every if df[r["phrase"]] >= least)
+        assert "phrase" not in got._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)[1]
+    assert rows(KB.tfidf_candidates(docs.limit(0), KB.KeyBertConfig(min_df=2))) == []
