@@ -1,4 +1,5 @@
 """What travels between tasks: rare words only, no step computed twice."""
+import math
 from collections import Counter
 
 import pytest
@@ -6,6 +7,7 @@ import pytest
 from keyforge.operators import encode as EN
 from keyforge.operators import keybert as KB
 from keyforge.operators import phrase_counts as PC
+from keyforge.operators import ranker as RK
 from keyforge.plans import q_model as QM
 from tests.conftest import rows
 
@@ -64,3 +66,23 @@ def test_phrases_are_counted_without_a_row_each(spark, monkeypatch):
             assert shown(rows(got)) == shown(r for r in every if df[r["phrase"]] >= least)
         assert "phrase" not in got._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)[1]
     assert rows(KB.tfidf_candidates(docs.limit(0), KB.KeyBertConfig(min_df=2))) == []
+
+
+def test_ranker_features_carry_labels_and_meet_no_phrase_table(spark, sent, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    gold = spark.createDataFrame([(1, ["Graph Theory", "search"]), (3, ["zebra"]), (6, ["none"]), (None, ["graph"])], "doc_id long, ref array<string>")
+    splits = spark.createDataFrame([(1, "train"), (3, "test"), (6, "train"), (None, "train")], "doc_id long, split string")
+    plain = RK.candidate_features(docs)
+    assert len(sent) == 3  # sends and answers of the packs, then the rows
+    assert not any("phrase" in df.columns for df in sent)
+    want = {(r["doc_id"], r["phrase"], r["label"], r["split"]) for r in rows(RK.label(plain, gold).join(splits, "doc_id"))}
+    for pack, bucket in ((1, 1), (10 ** 9, 10 ** 9)):
+        monkeypatch.setattr(PC, "PACK", pack)
+        monkeypatch.setattr(PC, "BUCKET", bucket)
+        feats = RK.candidate_features(docs, gold=gold, splits=splits)
+        assert {(r["doc_id"], r["phrase"], r["label"], r["split"]) for r in rows(feats.where("split is not null"))} == want
+        assert sorted(rows(feats.drop("label", "split")), key=str) == sorted(rows(plain), key=str)
+    assert sum(x[2] for x in want) == 3
+    one = {r["phrase"]: r for r in rows(plain.where("doc_id = 1"))}
+    assert abs(one["graph theory"]["log_df"] - math.log(2)) < 1e-12
+    assert abs(one["graph theory"]["idf"] - (math.log(9 / 5) + math.log(9 / 2)) / 2) < 1e-12
