@@ -111,3 +111,26 @@ def test_empty_lists_without_offsets():
     lists = pa.Array.from_buffers(pa.list_(pa.int64()), 0, [None, pa.py_buffer(np.array([-7], dtype=np.int32))], children=[pa.array([], pa.int64())])
     offsets, values = B.parts(lists)
     assert offsets.tolist() == [0] and len(values) == 0
+
+
+def test_plain_keywords_take_one_look(spark):
+    """The short way of KWD4 and the long one give the same for every text."""
+    from keyforge.functions import text as TX
+    odd = ["graph", "graph theory", " graph", "graph  theory", "graph\ttheory", "graph\n", "graph theory\n", "(graph)", "-graph", "graph-theory", "été straße", "a b", "", " ", None, "'", "3d", "x;", "a,b", "graph "]
+    words = ["graph", "Été", " ", "  ", "-", "(", "3", "\n", " ", ";", "'"]
+    rnd = random.Random(3)
+    odd += ["".join(rnd.choice(words) for _ in range(rnd.randrange(1, 6))) for _ in range(300)]
+    long = TX.strip(F.regexp_replace(TX.strip(F.regexp_replace("w", f"[{TX.WS}]+", " ")), f"^[{TX.KW_EDGE}]+|[{TX.KW_EDGE}]+$", ""))
+    got = rows(spark.createDataFrame([(w,) for w in odd], "w string").select("w", TX.clean_kw("w").alias("a"), long.alias("b"), F.col("w").rlike(TX.PLAIN).alias("plain")))
+    assert all(r["a"] == r["b"] for r in got) and any(r["plain"] for r in got) and any(r["plain"] is False for r in got)
+
+
+def test_a_gold_list_is_folded_once(spark):
+    """The counts of the report read lists that are made once; the ones of prepared references are the same."""
+    df = spark.createDataFrame([("a", ["Graph", "graph", "tree x", None], ["GRAPH", "yak"]), ("a", None, ["x"]), ("b", [], []), ("b", ["yak"], None), (None, ["é"], ["É"])], "m string, pred array<string>, ref array<string>")
+    rep = M.evaluation_report(df, by=["m"], use_stemmer=False)
+    assert plan(rep).count("array_distinct(") <= 2
+    shown = lambda d: sorted(map(str, rows(d)))
+    assert shown(rep) == shown(M.evaluation_report(M.with_reference(df), by=["m"], use_stemmer=False))
+    f1 = {r["m"]: (r["precision"], r["recall"], r["f1"]) for r in rows(M.f1_keywords(df, by=["m"]))}
+    assert f1 == {r["m"]: (r["precision"], r["recall"], r["f1"]) for r in rows(rep)} and f1[None] == (1.0, 1.0, 1.0)
